@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
-from .common import read, reachable
+from . import bpe, mixing, warc
+from .common import keep, new_path, read
 
 
 def vocabulary() -> str:
@@ -15,6 +15,27 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    index = keep(warc.write(read(spark, sf_dir, "pages"), folder), "warc-index")
+    got = warc.read(index, folder)
+    return got.select(
+        F.col("key").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("bigint"), "declared_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), "declared_digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+OP1_SQL = """
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN rev THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN rev THEN latest END AS refers_to
+FROM (SELECT page_id, h, latest, octet_length(encode(h)) >= 1000 AND page_id < latest AS rev
+      FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest FROM pages))
+"""
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary())
     return done.select(
@@ -25,9 +46,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, taken = mixing.mix(read(spark, sf_dir, "documents"))
+    words = taken.groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    return rows.join(words, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"))
+
+
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe}
+    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}
