@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, warc
+from . import bpe, fingerprints, mixing, warc
 from .common import keep, new_path, read
 
 
@@ -52,8 +52,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(words, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fingerprints.chain(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing}
+    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op7_fingerprints": op7_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
