@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, mixing, warc
+from . import bpe, fingerprints, jaccard, mixing, warc
 from .common import keep, new_path, read
 
 
@@ -46,6 +46,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = jaccard.join(read(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, taken = mixing.mix(read(spark, sf_dir, "documents"))
     words = taken.groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
@@ -58,7 +63,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op7_fingerprints": op7_fingerprints}
+    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op7_fingerprints": op7_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
