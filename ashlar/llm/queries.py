@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, jaccard, mixing, warc
+from . import bpe, fingerprints, jaccard, mixing, neighbours, warc
 from .common import keep, new_path, read
 
 
@@ -57,14 +57,28 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(words, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, x -> x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(c.e, q.e) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fingerprints.chain(read(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op7_fingerprints": op7_fingerprints}
+    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op6_neighbours": op6_neighbours, "op7_fingerprints": op7_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op6_neighbours": OP6_SQL}
