@@ -115,7 +115,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     asked = keep(blocks(v.where("asks").drop("asks"), QUERIES), "queries")
     where = every.groupBy("dim").agg(F.collect_list("block").alias("blocks"))  # numbers of blocks
     q = asked.withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors", "block": "q_block"}).join(where, "dim").withColumn("block", F.explode("blocks")).drop("blocks")
-    tiles = q.repartition("dim", "block", "q_block").join(every, ["dim", "block"]).select("dim", "q_ids", "q_vectors", "ids", "vectors")
+    tiles = q.join(every, ["dim", "block"]).select("dim", "q_ids", "q_vectors", "ids", "vectors")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
