@@ -78,3 +78,37 @@ def forget(spark: SparkSession) -> None:
 def bounded(df: DataFrame, rows: int) -> bool:
     """Whether df, a kept table, has at most so many rows: the check before a broadcast."""
     return df.limit(rows + 1).count() <= rows
+
+
+def held_out(c: Column, folds: int) -> Column:
+    """Whether a row is kept from learning: crc32 of the id as text leaves no remainder (a null id is kept too)."""
+    return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == 0, F.lit(True))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, folds: int = 5) -> list[tuple[str, int]]:
+    """(text, label) of at most ``each`` learning documents of either label, chosen by a hash
+    of their ids.  The bound makes the sample safe to hold in the driver.  An id labelled
+    twice counts once, as 1 if any label is 1."""
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = known.where("y = 1").orderBy(*order).limit(each).union(known.where("y = 0").orderBy(*order).limit(each))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").select("text", "y").collect()
+    return [(r["text"] or "", r["y"]) for r in rows[: 4 * each]]
+
+
+def logistic(x, y, rounds: int = 50, ridge: float = 1e-3, weight=None):
+    """Weights (bias last) of a ridge logistic regression, by Newton's steps; small bounded inputs only."""
+    import numpy as np
+
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    v = np.ones(len(x)) if weight is None else np.asarray(weight, float)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (v * (p - y)) + ridge * w
+        h = (x * (v * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
