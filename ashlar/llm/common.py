@@ -96,6 +96,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, f
     return [(r["text"] or "", r["y"]) for r in rows[: 4 * each]]
 
 
+def slices(batch, column: int, most: int, rows: int = 1 << 30):
+    """A record batch in slices of about ``most`` bytes of a string or binary column (one row at least)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        to = max(at + 1, min(to, at + rows))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def logistic(x, y, rounds: int = 50, ridge: float = 1e-3, weight=None):
     """Weights (bias last) of a ridge logistic regression, by Newton's steps; small bounded inputs only."""
     import numpy as np

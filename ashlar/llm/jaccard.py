@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, keep, reachable
+from .common import bounded, keep, reachable, slices
 from .components import components
 from .shingles import set_key, sets
 
@@ -27,7 +27,9 @@ FREQUENT, LONG, NEAR = 64, 96, 2
 #: The part of the hash range, from below, whose shingles can be counted and indexed.
 ZONE = np.uint64(1 << 63)
 #: Index entries a task is meant to hold, and filter rows up to which a filter is broadcast.
-TASK, FILTER = 1 << 20, 2_000_000
+TASK, FILTER = 1 << 19, 2_000_000
+#: Bytes of text that a worker turns into index entries at once.
+TEXT = 6 << 20
 
 BLOB = "dest int, kind int, body binary"
 
@@ -108,7 +110,7 @@ def spread(parts: int):
     gets a note, so no shingle gathers more than FREQUENT entries a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 0, TEXT)):
             tok, key, size, zone, rank = [], [], [], [], []
             for s in sets(b.column(0)):
                 n = len(s)
@@ -319,13 +321,13 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            got = list(sets(b.column(0).slice(at, 1000)))
+        for part in slices(b, 0, TEXT):
+            got = list(sets(part.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["key", "body"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x for whole in batches for x in slices(whole, 2, TEXT)):
         a, c = [], []
         for x, y, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
             s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
