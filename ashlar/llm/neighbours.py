@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import keep, reachable
 
 #: Vectors a candidate block and a query block aim at.
-CANDIDATES, QUERIES = 2048, 1024
+CANDIDATES, QUERIES = 8192, 1024
 
 BLOCK = "dim int, block bigint, ids binary, vectors binary"
-FOUND = "query_id bigint, vec_id bigint, score double"
+FOUND = "query_id bigint, best array<struct<vec_id: bigint, score: double>>"
 
 
 def usable(v: Column) -> Column:
@@ -74,11 +74,11 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(kind) @ b.astype(kind).T
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k best candidates of each query of a tile: query ids, candidate ids, scores."""
+def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[list, list]:
+    """The k best candidates of each query of a tile: query ids, and (candidate id, score) best first."""
     qi, qs, qn, qe = rounded(q)
     ci, cs, cn, ce = rounded(c)
-    out: tuple[list, list, list] = ([], [], [])
+    out: tuple[list, list] = ([], [])
     for at in range(0, len(q), 256):
         to = min(at + 256, len(q))
         near = products(qi[at:to], ci) * (qs[at:to, None] * cs[None, :])
@@ -93,9 +93,8 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
             for x in range(0, len(j), 4096):  # sums from the first component on
                 score[x : x + 4096] = np.cumsum(c[j[x : x + 4096]] * q[i], axis=1)[:, -1]
             best = np.lexsort((c_ids[j], -score))[:k]
-            out[0].extend([int(q_ids[i])] * len(best))
-            out[1].extend(c_ids[j[best]].tolist())
-            out[2].extend(score[best].tolist())
+            out[0].append(int(q_ids[i]))
+            out[1].append([{"vec_id": x, "score": y} for x, y in zip(c_ids[j[best]].tolist(), score[best].tolist())])
     return out
 
 
@@ -122,7 +121,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
             for dim, *parts in zip(b.column(0).to_pylist(), *b.columns[1:]):
                 qi, qv, ci, cv = (np.frombuffer(p.as_buffer(), t) for p, t in zip(parts, ("<i8", "<f8", "<i8", "<f8")))
                 got = tile(qi, qv.reshape(-1, dim), ci, cv.reshape(-1, dim), k)
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.list_(pa.struct({"vec_id": pa.int64(), "score": pa.float64()})))], ["query_id", "best"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ranked(query: int, heap: list) -> Iterator[tuple]:
@@ -132,14 +131,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         query, heap = None, []
         for b in batches:
             out: list[tuple] = []
-            for x, vec, score in zip(*(c.to_pylist() for c in b.columns)):
+            for x, best in zip(*(c.to_pylist() for c in b.columns)):
                 if x != query:
                     out.extend(ranked(query, heap))
                     query, heap = x, []
-                (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (score, -vec))
+                for y in best:
+                    (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (y["score"], -y["vec_id"]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
-        if heap:
+        if heap:  # the last query
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ranked(query, heap)), (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
 
     found = tiles.mapInArrow(work, FOUND)
