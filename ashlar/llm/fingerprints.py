@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import LOWER, bounded, keep, reachable, words
+from .common import bounded, keep, reachable
 
 SAMPLES = 128
 #: Terms and weights a worker remembers; each holds SAMPLES values.
-CACHE = 120_000
+CACHE = 150_000
+_lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # and bytes.split() cuts at the contracts' white space
 #: Code of the samples of a text without words.
 EMPTY = 0
 
@@ -32,66 +33,62 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gamma2(bits: int) -> np.ndarray:
-    """Quantiles of the gamma(2, 1) distribution at 2**bits even steps: x with 1 - (1 + x) exp(-x) = u."""
-    u = (np.arange(1 << bits) + 0.5) / (1 << bits)
-    x = np.sqrt(2 * u) / (1 - 0.5 * u)
-    for _ in range(60):  # Newton's steps, held inside the positive numbers
-        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - u) / np.maximum(x * np.exp(-x), 1e-300), x / 2)
-    return x
-
-
 class Sampler:
     """Consistent weighted samples of texts.
 
-    One 64-bit draw for a term and sample gives r (16 bits) and c (20 bits), both by the
-    gamma quantile tables, and the uniform shift (16 bits)."""
+    One 64-bit draw for a term and sample gives r and c, each gamma(2, 1) as the sum of two
+    exponentials, from its four 16-bit parts, and by a further product the uniform shift."""
 
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
         self.lane = _mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.r = gamma2(16).astype(np.float32)
-        self.log_c = np.log(gamma2(20)).astype(np.float32)
-        self.known: dict[tuple[str, int], int] = {}
+        self.known: dict[tuple[bytes, int], int] = {}
         self.arrivals = np.empty((CACHE, samples), np.float32)
         self.codes = np.empty((CACHE, samples), np.uint16)
+        self.lanes = np.arange(samples)
 
-    def fill(self, terms: list[tuple[str, int]]) -> None:
+    def fill(self, terms: list[tuple[bytes, int]]) -> None:
         """Arrival values and codes of terms (word, count) that are not known yet."""
-        h = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w, _ in terms], np.uint64)
+        h = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w, _ in terms]), np.uint64)
         x = _mix(h[:, None] ^ self.lane[None, :])
-        r = self.r[(x & np.uint64(0xFFFF)).astype(np.int64)]
-        shift = ((x >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.float32) / np.float32(65536)
-        log_c = self.log_c[((x >> np.uint64(32)) & np.uint64(0xFFFFF)).astype(np.int64)]
-        t = np.floor(np.log(np.array([n for _, n in terms], np.float32))[:, None] / r + shift)
+        u = (x.view(np.uint16).reshape(len(terms), self.samples, 4).astype(np.float32) + np.float32(0.5)) * np.float32(2**-16)
+        r = -np.log(u[:, :, 0] * u[:, :, 1])
+        a = np.log(-np.log(u[:, :, 2] * u[:, :, 3]))
+        shift = ((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
+        a -= r * (1 - shift)
+        code = x * np.uint64(0x9E3779B97F4A7C15)
+        more = np.flatnonzero(np.array([n for _, n in terms]) > 1)
+        if len(more):  # a count of one leaves the position at the shift itself
+            t = np.floor(np.log(np.array([terms[i][1] for i in more], np.float32))[:, None] / r[more] + shift[more])
+            a[more] -= r[more] * t
+            code[more] += t.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         at = len(self.known)
-        self.arrivals[at : at + len(terms)] = log_c - r * (t - shift) - r
-        code = (x + t.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+        self.arrivals[at : at + len(terms)] = a
         self.codes[at : at + len(terms)] = np.maximum(code >> np.uint64(48), np.uint64(1))
         self.known.update(zip(terms, range(at, at + len(terms))))
 
     def __call__(self, text: str) -> np.ndarray:
         """The text's samples, 16-bit codes."""
-        terms = list(Counter(words(text.translate(LOWER))).items())
-        best = np.full(self.samples, np.inf, np.float32)
-        code = np.full(self.samples, EMPTY, np.uint16)
-        lanes = np.arange(self.samples)
-        for at in range(0, len(terms), CACHE // 2):
+        terms = list(Counter(text.encode("utf-8", "surrogatepass").translate(_lower).split()).items())
+        best = code = None
+        for at in range(0, len(terms), CACHE // 2):  # more than one turn for a very long text only
             part = terms[at : at + CACHE // 2]
             new = [x for x in part if x not in self.known]
             if len(self.known) + len(new) > CACHE:
                 self.known.clear()
                 new = part
-            for k in range(0, len(new), 512):
-                self.fill(new[k : k + 512])
+            for k in range(0, len(new), 256):
+                self.fill(new[k : k + 256])
             rows = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
-            a = self.arrivals[rows]
+            a = self.arrivals.take(rows, axis=0)
             first = a.argmin(axis=0)
-            low = a[first, lanes]
-            better = low < best
-            best = np.where(better, low, best)
-            code = np.where(better, self.codes[rows[first], lanes], code)
-        return code
+            low, got = a[first, self.lanes], self.codes[rows[first], self.lanes]
+            if best is None:
+                best, code = low, got
+            else:
+                better = low < best
+                best, code = np.where(better, low, best), np.where(better, got, code)
+        return np.full(self.samples, EMPTY, np.uint16) if code is None else code
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
