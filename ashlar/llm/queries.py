@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, jaccard, mixing, neighbours, toxicity, warc
+from . import bpe, fingerprints, jaccard, lm, mixing, neighbours, quality, toxicity, warc
 from .common import held_out, keep, new_path, read
 
 
@@ -76,6 +76,16 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -83,7 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op6_neighbours": op6_neighbours, "op7_fingerprints": op7_fingerprints, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op6_neighbours": op6_neighbours, "op7_fingerprints": op7_fingerprints, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
