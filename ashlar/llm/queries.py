@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, jaccard, lm, mixing, neighbours, quality, toxicity, warc
+from . import bpe, fingerprints, jaccard, lm, mixing, neighbours, pii, quality, toxicity, warc
 from .common import held_out, keep, new_path, read
 
 
@@ -57,6 +57,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(words, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    count = [F.size(F.array_remove(F.col("base.kind"), i)) for i in range(len(pii.KINDS))]
+    count = [(F.size("base") - c).cast("bigint").alias(f"n_{k}") for k, c in zip(pii.KINDS, count)]
+    return found.select("doc_id", *count, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -93,7 +101,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op6_neighbours": op6_neighbours, "op7_fingerprints": op7_fingerprints, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_neighbours": op6_neighbours, "op7_fingerprints": op7_fingerprints, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
