@@ -35,8 +35,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def reachable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where the session's own path lacks it."""
+    """Let Python workers import this package where the session's own path lacks it, and
+    hand them Arrow batches of at most 8 MB unless the session was set up otherwise: the
+    JVM and the worker of every task hold one each, whatever the length of the texts."""
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(8 << 20))
     env = spark.sparkContext.environment
     if _root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), _root) if x)
