@@ -74,12 +74,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete the tables that keep() and new_path() made so far. Call it only once their results are written."""
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that keep() and new_path() made.  Call it only once their results are written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        if p in _written:
+            _written.remove(p)
+
+
+def written() -> list[str]:
+    """The paths made so far and not forgotten."""
+    return list(_written)
 
 
 def bounded(df: DataFrame, rows: int) -> bool:

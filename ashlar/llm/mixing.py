@@ -9,13 +9,15 @@ time the source has been gone through; slots and blocks are then joined by index
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, keep, reachable
+from .common import WORD, keep, reachable, slices
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -180,3 +182,45 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     used = uses(s, shard, seed)
     taken = span.join(used, ["sid", "block"]).select("row", "epoch", F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).alias("lo"), (F.least((F.col("block") + 1) * block, F.col("end")) - F.col("start")).alias("hi"))
     return rows, taken
+
+
+def texts(docs: DataFrame, rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """The mix as documents: docs' rows with text cut to what the mix takes.
+
+    A document gives one row for each time its source is gone through and it is taken from;
+    word ranges that touch stay as they stand in the text, others are joined by a line
+    break.  n_chars follows the text.  What the mix does not take is left out.
+    """
+    spans = taken.groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))  # within one document
+    per = spans.join(rows.select("row", "doc_id", "tie", "copy"), "row").groupBy("doc_id").agg(F.collect_list(F.struct("tie", "copy", "epoch", "ranges")).alias("uses"))
+    w = Window.partitionBy("doc_id", "_tie").orderBy("source")
+    d = docs.repartition("doc_id").withColumn("_tie", F.xxhash64("text")).withColumn("_copy", F.row_number().over(w))
+    per = per.select(F.col("doc_id").alias("_id"), "uses")
+    d = d.join(per, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_uses", F.filter("uses", lambda u: (u["tie"] == F.col("_tie")) & (u["copy"] == F.col("_copy"))))
+    d = d.select(*docs.columns, F.sort_array(F.transform("_uses", lambda u: F.struct(u["epoch"].alias("epoch"), u["ranges"].alias("ranges")))).alias("_uses"))
+    names = docs.columns
+    words = re.compile(WORD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in slices(whole, names.index("text"), 4 << 20)):
+            index, text = [], []
+            for i, (t, uses) in enumerate(zip(b.column(names.index("text")).to_pylist(), b.column(len(names)).to_pylist())):
+                at = [m.span() for m in words.finditer(t or "")] if uses else []
+                for u in uses:
+                    parts: list[list[int]] = []
+                    for r in u["ranges"]:
+                        if parts and parts[-1][1] == r["lo"]:
+                            parts[-1][1] = r["hi"]
+                        else:
+                            parts.append([r["lo"], r["hi"]])
+                    index.append(i)
+                    text.append(t if parts == [[0, len(at)]] else "\n".join(t[at[lo][0] : at[hi - 1][1]] for lo, hi in parts))
+            out = b.select(names).take(pa.array(index, pa.int64()))
+            columns = dict(zip(names, out.columns))
+            columns["text"] = pa.array(text, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t) for t in text], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    reachable(docs.sparkSession)
+    return d.mapInArrow(run, docs.schema)

@@ -271,3 +271,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     reachable(docs.sparkSession)
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, score double")
+
+
+def clean(docs: DataFrame, model: Model, below: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores below ``below``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = Kernel(model.landmarks)
+        for b in batches:
+            at = b.schema.get_field_index(text)
+            for x in range(0, b.num_rows, 200):
+                part = b.slice(x, 200)
+                yield part.filter(pa.array(model.scores(kernel, [t or "" for t in part.column(at).to_pylist()]) < below))
+
+    reachable(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
