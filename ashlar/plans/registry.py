@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import content, logs, scalars, trees
+
+PARTS = (content, logs, trees, scalars)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for p in PARTS for k, v in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in PARTS for k, v in p.SQL.items()}
