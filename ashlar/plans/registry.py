@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, logs, scalars, trees
+from . import content, documents, logs, scalars, streams, trees
 
-PARTS = (content, logs, trees, scalars)
+PARTS = (content, logs, trees, scalars, documents, streams)
 
 
 def queries() -> dict:
