@@ -14,8 +14,9 @@ MAGIC, HEADER = b"ASHLRLOG", 64
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, modified, content of all regular files below root; the content is only
-    read where it is used."""
+    """path, size, modified, content of the regular files below root; the content is only
+    read where it is used.  Spark's listing passes over names that start with a dot or an
+    underscore."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return f.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
