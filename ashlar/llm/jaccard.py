@@ -104,10 +104,10 @@ def runs(x: np.ndarray) -> np.ndarray:
 ENTRY = ("<u8", "<i8", "<i4", "<i4", "<i4")  # shingle, set, its size, its shingles in the zone, rank by hash
 
 
-def spread(parts: int):
-    """Texts -> index entries, dealt by shingle.  A shingle of more than FREQUENT sets of one
+def spread(parts: int, frequent_over: int = FREQUENT):
+    """Texts -> index entries, dealt by shingle.  A shingle of more than frequent_over sets of one
     batch is frequent for certain: its entries go past the count, by set, and the count only
-    gets a note, so no shingle gathers more than FREQUENT entries a batch."""
+    gets a note, so no shingle gathers more entries a batch than that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in slices(whole, 0, TEXT)):
@@ -128,7 +128,7 @@ def spread(parts: int):
             t, k, n, z, r = map(np.concatenate, (tok, key, size, zone, rank))
             order = np.argsort(t, kind="stable")
             cut = runs(t[order])
-            hot = np.repeat(np.diff(cut) > FREQUENT, np.diff(cut))
+            hot = np.repeat(np.diff(cut) > frequent_over, np.diff(cut))
             frequent = np.zeros(len(t), bool)
             frequent[order[hot]] = True
             frequent &= r < z
@@ -144,17 +144,17 @@ def spread(parts: int):
     return run
 
 
-def counted(parts: int):
+def counted(parts: int, frequent_over: int = FREQUENT):
     """Entries by shingle -> entries of shingles that more than one set has, marked if frequent, dealt by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, got in grouped(batches):
-            yield rows(_counted(got, parts))
+            yield rows(_counted(got, parts, frequent_over))
 
     return run
 
 
-def _counted(got: list[tuple[int, bytes]], parts: int) -> list[tuple[int, int, bytes]]:
+def _counted(got: list[tuple[int, bytes]], parts: int, frequent_over: int) -> list[tuple[int, int, bytes]]:
     t, k, n, z, r = joined([unpack(body, *ENTRY) for kind, body in got if kind == 0], *ENTRY)
     notes = [unpack(body, "<u8")[0] for kind, body in got if kind == 1]
     note = np.unique(np.concatenate(notes)) if notes else np.empty(0, np.uint64)
@@ -164,7 +164,7 @@ def _counted(got: list[tuple[int, bytes]], parts: int) -> list[tuple[int, int, b
     many = np.diff(cut)
     df = np.repeat(many, many)
     noted = np.isin(t, note)
-    frequent = ((df > FREQUENT) | noted) & (r < z)
+    frequent = ((df > frequent_over) | noted) & (r < z)
     stay = (df > 1) | noted
     out = dealt((k[stay] % parts).astype(np.int32), 2, t[stay], k[stay], n[stay], z[stay], r[stay], frequent[stay].astype(np.int8))
     # what went past the count is by set already
@@ -249,42 +249,49 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield t[order], k[order], n[order], pos[order]
 
 
-def short_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs that meet in lists up to LONG; neighbours in size from longer ones."""
-    for t, k, n, pos in lists(batches):
-        cut = runs(t)
-        many = np.diff(cut)
-        short = np.repeat(many <= LONG, many)
-        # pairs at distance d within the short lists, for all lists at once
-        for long, deep in ((False, min(LONG, int(many[many <= LONG].max(initial=0)))), (True, NEAR + 1)):
-            use = short != long
-            tt, kk, nn, pp = t[use], k[use], n[use], pos[use]
-            found: list[tuple] = []
-            size = 0
-            for d in range(1, deep):
-                if d >= len(tt):
-                    break
-                i = np.flatnonzero(tt[d:] == tt[:-d])
-                j = i + d
-                ok = (4 * nn[j] <= 5 * nn[i]) & (kk[i] != kk[j])
-                i, j = i[ok], j[ok]
-                ok = reaches(nn[i], pp[i], nn[j], pp[j])
-                i, j = i[ok], j[ok]
-                found.append((kk[i], kk[j], nn[i], nn[j]))
-                size += len(i)
-                if size > 1 << 20:
+def short_pairs(longest: int = LONG):
+    """All pairs that meet in lists up to ``longest``; neighbours in size from longer ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, k, n, pos in lists(batches):
+            many = np.diff(runs(t))
+            short = np.repeat(many <= longest, many)
+            # pairs at distance d within the lists, for all lists at once
+            for long, deep in ((False, int(many[many <= longest].max(initial=0))), (True, NEAR + 1)):
+                use = short != long
+                tt, kk, nn, pp = t[use], k[use], n[use], pos[use]
+                found: list[tuple] = []
+                size = 0
+                for d in range(1, deep):
+                    if d >= len(tt):
+                        break
+                    i = np.flatnonzero(tt[d:] == tt[:-d])
+                    j = i + d
+                    ok = (4 * nn[j] <= 5 * nn[i]) & (kk[i] != kk[j])
+                    i, j = i[ok], j[ok]
+                    ok = reaches(nn[i], pp[i], nn[j], pp[j])
+                    i, j = i[ok], j[ok]
+                    found.append((kk[i], kk[j], nn[i], nn[j]))
+                    size += len(i)
+                    if size > 1 << 19:
+                        yield pairs_batch(*map(np.concatenate, zip(*found)), long)
+                        found, size = [], 0
+                if size:
                     yield pairs_batch(*map(np.concatenate, zip(*found)), long)
-                    found, size = [], 0
-            if size:
-                yield pairs_batch(*map(np.concatenate, zip(*found)), long)
 
+    return run
+
+
+def long_entries(longest: int = LONG):
+    """Entries of the longer lists as rows."""
 
-def long_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, k, n, pos in lists(batches):
-        cut = runs(t)
-        many = np.diff(cut)
-        use = np.repeat(many > LONG, many)
-        yield pa.RecordBatch.from_arrays([pa.array(t[use].view(np.int64)), pa.array(k[use]), pa.array(n[use].astype(np.int32)), pa.array(pos[use].astype(np.int32))], ["shingle", "key", "n", "pos"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, k, n, pos in lists(batches):
+            many = np.diff(runs(t))
+            use = np.repeat(many > longest, many)
+            yield pa.RecordBatch.from_arrays([pa.array(t[use].view(np.int64)), pa.array(k[use]), pa.array(n[use].astype(np.int32)), pa.array(pos[use].astype(np.int32))], ["shingle", "key", "n", "pos"])
+
+    return run
 
 
 def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +360,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, owner: DataFrame) -> DataFrame:
     return keep(got.select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint"), "links")
 
 
-def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, frequent_over: int = FREQUENT, longest: int = LONG) -> tuple[DataFrame, DataFrame]:
     """Links among docs (doc_id, text) at Jaccard similarity 0.8 of five-word shingle sets.
 
     Returns ``(documents, links)``: documents has a row for each row of docs: doc_id,
@@ -376,16 +383,16 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def stage(df: DataFrame, run, schema: str = BLOB) -> DataFrame:
         return df.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(run, schema)
 
-    first = _only(docs, copies, "left_anti").select("text").mapInArrow(spread(parts), BLOB)
-    index = keep(stage(stage(first, counted(parts)), placed(parts)), "index")
+    first = _only(docs, copies, "left_anti").select("text").mapInArrow(spread(parts, frequent_over), BLOB)
+    index = keep(stage(stage(first, counted(parts, frequent_over)), placed(parts)), "index")
     by_shingle = index.repartition(parts, "dest").sortWithinPartitions("dest")
     alpha = F.expr("(4 * (na + nb) + 8) div 9")
     enough = F.col("hits") >= 1 + F.floor(alpha / 24)
-    hits = keep(by_shingle.mapInArrow(short_pairs, PAIR).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(F.when(~F.col("long"), F.col("hits")).otherwise(0)).alias("hits"), F.max("long").alias("long")), "hits")
+    hits = keep(by_shingle.mapInArrow(short_pairs(longest), PAIR).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(F.when(~F.col("long"), F.col("hits")).otherwise(0)).alias("hits"), F.max("long").alias("long")), "hits")
     tried = keep(hits.where(enough | F.col("long")).select("a", "b"), "pairs")
     links = _verified(docs, tried, owner)
     roots = components(links)
-    long = keep(by_shingle.mapInArrow(long_entries, "shingle bigint, key bigint, n int, pos int"), "long")
+    long = keep(by_shingle.mapInArrow(long_entries(longest), "shingle bigint, key bigint, n int, pos int"), "long")
     if not long.isEmpty():
         named = long.join(roots, long["key"] == roots["node"], "left").select("shingle", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
         more = named.repartition("shingle").sortWithinPartitions("shingle", "n", "key").mapInArrow(cross_pairs, PAIR)
