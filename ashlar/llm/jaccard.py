@@ -4,10 +4,11 @@ Equal sets are one set from the start.  The others' shingles go into index lists
 by one global order (shingles of few sets first, frequent ones last, by hash within), of
 which each set only enters its prefix; sets that are similar enough share several of them.
 Lists are kept by set size with the entry's position, and what a size and a position can
-still reach lets whole blocks of a list be skipped.  Long lists are not expanded: first
-each set is compared with its neighbours in size only; a set that proves similar to
-another takes over that set's answers (they are in one class), and only sets of different
-classes are compared then.  Every pair that is left is compared on its whole sets.
+still reach lets entries beyond it be skipped.  Long lists are not expanded into pairs:
+the sets that long lists connect form a group, which is cut into blocks by size, and a
+tile of two blocks finds its links where the sets are.  There a set's intersections with
+all others are not counted anew but derived from those of a similar set, by the few
+shingles in which the two differ.  Pairs of short lists are compared on their whole sets.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .common import bounded, keep, reachable, slices
 from .components import components
 from .shingles import set_key, sets
 
-#: A shingle of more sets than this is frequent; a list longer than LONG is not expanded at first.
-FREQUENT, LONG, NEAR = 64, 96, 2
+#: A shingle of more sets than this is frequent; a list longer than LONG is not expanded.
+FREQUENT, LONG = 64, 96
+#: Sets of a block, and sets whose answers a tile keeps to derive others' from.
+BLOCK, PIVOTS = 2048, 8
 #: The part of the hash range, from below, whose shingles can be counted and indexed.
 ZONE = np.uint64(1 << 63)
 #: Index entries a task is meant to hold, and filter rows up to which a filter is broadcast.
@@ -206,30 +209,10 @@ def reaches(n: np.ndarray, pos: np.ndarray, m: np.ndarray, mpos: np.ndarray) ->
     return (n - pos + slack >= 0) & (m - mpos + slack >= 0)
 
 
-def meet(k: np.ndarray, n: np.ndarray, pos: np.ndarray, block: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of one list, sorted by size, whose entries can reach each other.
-    For a block of entries, a later block is skipped when the sizes are too far apart or
-    the best positions of the two blocks cannot reach each other."""
-    for a in range(0, len(k), block):
-        i = np.arange(a, min(a + block, len(k)))
-        for b in range(a, len(k), block):
-            j = np.arange(b, min(b + block, len(k)))
-            if 4 * n[j[0]] > 5 * n[i[-1]]:
-                break
-            low, high = need(n[i[0]], n[j[0]]), shared(need(n[i[-1]], n[j[-1]])) - 1
-            if (n[i] - pos[i]).max() + high < low or (n[j] - pos[j]).max() + high < low:
-                continue
-            x, y = np.meshgrid(i, j, indexing="ij")
-            ok = (x < y) & (4 * n[y] <= 5 * n[x]) & (k[x] != k[y])
-            x, y = x[ok], y[ok]
-            ok = reaches(n[x], pos[x], n[y], pos[y])
-            yield x[ok], y[ok]
-
+PAIR = "a bigint, b bigint, na int, nb int, hits bigint"
 
-PAIR = "a bigint, b bigint, na int, nb int, hits bigint, long boolean"
 
-
-def pairs_batch(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, long: bool) -> pa.RecordBatch:
+def pairs_batch(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
     """Distinct pairs with their hits, the smaller set key first."""
     swap = a > b
     a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
@@ -237,7 +220,7 @@ def pairs_batch(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, lo
     a, b, na, nb = a[order], b[order], na[order], nb[order]
     cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]))) if len(a) else np.zeros(1, np.int64)
     at = cut[:-1]
-    return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(na[at].astype(np.int32)), pa.array(nb[at].astype(np.int32)), pa.array(np.diff(cut).astype(np.int64)), pa.array(np.full(len(at), long))], ["a", "b", "na", "nb", "hits", "long"])
+    return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(na[at].astype(np.int32)), pa.array(nb[at].astype(np.int32)), pa.array(np.diff(cut).astype(np.int64))], ["a", "b", "na", "nb", "hits"])
 
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -250,74 +233,107 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def short_pairs(longest: int = LONG):
-    """All pairs that meet in lists up to ``longest``; neighbours in size from longer ones."""
+    """All pairs that meet in lists up to ``longest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, k, n, pos in lists(batches):
             many = np.diff(runs(t))
-            short = np.repeat(many <= longest, many)
+            use = np.repeat(many <= longest, many)
+            t, k, n, pos = t[use], k[use], n[use], pos[use]
+            found: list[tuple] = []
+            size = 0
             # pairs at distance d within the lists, for all lists at once
-            for long, deep in ((False, int(many[many <= longest].max(initial=0))), (True, NEAR + 1)):
-                use = short != long
-                tt, kk, nn, pp = t[use], k[use], n[use], pos[use]
-                found: list[tuple] = []
-                size = 0
-                for d in range(1, deep):
-                    if d >= len(tt):
-                        break
-                    i = np.flatnonzero(tt[d:] == tt[:-d])
-                    j = i + d
-                    ok = (4 * nn[j] <= 5 * nn[i]) & (kk[i] != kk[j])
-                    i, j = i[ok], j[ok]
-                    ok = reaches(nn[i], pp[i], nn[j], pp[j])
-                    i, j = i[ok], j[ok]
-                    found.append((kk[i], kk[j], nn[i], nn[j]))
-                    size += len(i)
-                    if size > 1 << 19:
-                        yield pairs_batch(*map(np.concatenate, zip(*found)), long)
-                        found, size = [], 0
-                if size:
-                    yield pairs_batch(*map(np.concatenate, zip(*found)), long)
+            for d in range(1, int(many[many <= longest].max(initial=0))):
+                i = np.flatnonzero(t[d:] == t[:-d])
+                j = i + d
+                ok = (4 * n[j] <= 5 * n[i]) & (k[i] != k[j])
+                i, j = i[ok], j[ok]
+                ok = reaches(n[i], pos[i], n[j], pos[j])
+                i, j = i[ok], j[ok]
+                found.append((k[i], k[j], n[i], n[j]))
+                size += len(i)
+                if size > 1 << 19:
+                    yield pairs_batch(*map(np.concatenate, zip(*found)))
+                    found, size = [], 0
+            if size:
+                yield pairs_batch(*map(np.concatenate, zip(*found)))
 
     return run
 
 
-def long_entries(longest: int = LONG):
-    """Entries of the longer lists as rows."""
+def long_members(longest: int = LONG):
+    """(set, first set of the list, size) for the members of each longer list: what holds a group together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, k, n, pos in lists(batches):
-            many = np.diff(runs(t))
+        for t, k, n, _ in lists(batches):
+            cut = runs(t)
+            many = np.diff(cut)
             use = np.repeat(many > longest, many)
-            yield pa.RecordBatch.from_arrays([pa.array(t[use].view(np.int64)), pa.array(k[use]), pa.array(n[use].astype(np.int32)), pa.array(pos[use].astype(np.int32))], ["shingle", "key", "n", "pos"])
+            first = np.repeat(k[cut[:-1]], many)
+            yield pa.RecordBatch.from_arrays([pa.array(k[use]), pa.array(first[use]), pa.array(n[use].astype(np.int32))], ["a", "b", "n"])
 
     return run
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in long lists; rows (shingle, key, n, pos, root) sorted by shingle and size."""
-
-    def of(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, k, n, pos, root = part
-        if (root == root[0]).all():
-            return
-        for i, j in meet(k, n, pos):
-            ok = root[i] != root[j]
-            if ok.any():
-                i, j = i[ok], j[ok]
-                yield pairs_batch(k[i], k[j], n[i], n[j], True)
-
-    left: list[np.ndarray] | None = None
+def tile_links(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links of the sets of x (with each other and with those of y) as a forest of index
+    pairs; y's sets are counted from len(x) on.  Pairs within y are another tile's."""
+    all_ = x + y
+    sizes = np.array([len(s) for s in all_])
+    token = np.concatenate(all_)
+    owner = np.repeat(np.arange(len(all_)), sizes)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    cut = runs(token)
+    names, starts, many = token[cut[:-1]], cut[:-1], np.diff(cut)
+
+    def tally(shingles: np.ndarray) -> np.ndarray:
+        """How many of the shingles each set has, from their index lists."""
+        at = np.searchsorted(names, shingles)
+        n = many[at]
+        where = np.arange(n.sum()) + np.repeat(starts[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        return np.bincount(owner[where], minlength=len(all_))
+
+    label = np.arange(len(all_))  # the class that each set is known to be in
+    pivots: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, s in enumerate(x):
+        best = max(pivots, key=lambda p: p[1][i], default=None)
+        if best is not None and 2 * best[1][i] > max(len(s), len(best[0])):
+            p, known = best
+            both = np.intersect1d(s, p, assume_unique=True)
+            counts = known + tally(np.setdiff1d(s, both, assume_unique=True)) - tally(np.setdiff1d(p, both, assume_unique=True))
+        else:
+            counts = tally(s)
+            pivots = [*pivots[-(PIVOTS - 1) :], (s, counts)]
+        linked = np.flatnonzero(counts >= need(sizes, np.int64(len(s))))
+        linked = linked[linked > i]
+        # one link to each class is enough
+        classes, at = np.unique(label[linked], return_index=True)
+        for c, j in zip(classes.tolist(), linked[at].tolist()):
+            if c != label[i]:
+                yield i, j
+                label[label == c] = label[i]
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, side, key, body) sorted by tile and side -> links (a, b)."""
+
+    def links(key: list[list[int]], sets_: list[list[np.ndarray]]) -> pa.RecordBatch:
+        names = key[0] + key[1]
+        found = list(tile_links(*sets_)) if sets_[0] else []
+        return pa.RecordBatch.from_arrays([pa.array([names[p[i]] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    now, key, sets_ = None, [[], []], [[], []]
     for b in batches:
-        cols = [c.to_numpy().astype(np.int64) for c in b.columns]
-        if left is not None:
-            cols = [np.concatenate(x) for x in zip(left, cols)]
-        cut = runs(cols[0])
-        for x, y in zip(cut[:-2], cut[1:-1]):
-            yield from of([c[x:y] for c in cols])
-        left = [c[cut[-2] :] for c in cols] if len(cut) > 1 else None
-    if left is not None and len(left[0]):
-        yield from of(left)
+        for tile, side, k, body in zip(*(c.to_pylist() for c in b.columns)):
+            if tile != now:
+                if now is not None:
+                    yield links(key, sets_)
+                now, key, sets_ = tile, [[], []], [[], []]
+            key[side].append(k)
+            sets_[side].append(np.frombuffer(body, np.uint64))
+    if now is not None:
+        yield links(key, sets_)
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,17 +366,53 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if bounded(ids, FILTER) else ids, "doc_id", how)
 
 
+def _bodies(docs: DataFrame, keys: DataFrame, owner: DataFrame) -> DataFrame:
+    """key, body (the whole set) of the wanted sets, from their owners' texts."""
+    ids = keep(owner.join(keys, "key", "left_semi").select("doc_id").distinct(), "set-ids")
+    return _only(docs, ids, "left_semi").select("text").mapInArrow(_whole, "key bigint, body binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, owner: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, compared on their whole sets."""
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ids = keep(owner.join(keys, "key", "left_semi").select("doc_id"), "pair-ids")
-    body = _only(docs, ids, "left_semi").select("text").mapInArrow(_whole, "key bigint, body binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
-    body = keep(body, "pair-sets")
+    body = keep(_bodies(docs, keys, owner), "pair-sets")
     got = pairs.select("a", "b").join(body.withColumnsRenamed({"key": "a", "body": "x"}), "a").join(body.withColumnsRenamed({"key": "b", "body": "y"}), "b")
-    return keep(got.select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint"), "links")
-
-
-def join(docs: DataFrame, frequent_over: int = FREQUENT, longest: int = LONG) -> tuple[DataFrame, DataFrame]:
+    return got.select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint")
+
+
+def _grouped_links(docs: DataFrame, members: DataFrame, owner: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links among the sets of each group that long lists connect (members: a, b, n).
+
+    A group is cut by size (sets link only within a class of sizes or with the next one) and
+    by hash into blocks of about ``block`` sets; every two blocks that can hold links make
+    a tile, and a set goes to as many tiles as its class and the next have blocks."""
+    n = members.groupBy("a").agg(F.first("n").alias("n"))
+    group = keep(components(members.select("a", "b")).join(n, F.col("node") == F.col("a")).select(F.col("node").alias("key"), "root", F.floor(F.log(1.25, F.col("n") + 0.5)).cast("int").alias("class")), "groups")
+    cells = group.groupBy("root", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    after = cells.select("root", (F.col("class") - 1).alias("class"), F.col("parts").alias("after"))
+    before = cells.select("root", (F.col("class") + 1).alias("class"), F.col("parts").alias("before"))
+    g = group.join(cells, ["root", "class"]).join(after, ["root", "class"], "left").join(before, ["root", "class"], "left").na.fill(0, ["after", "before"])
+    g = g.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    row = lambda step, i, j, side: F.struct(step.alias("step"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    count = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
+    own, zero, one = F.col("part"), F.lit(0), F.lit(1)
+    # within a class block i meets blocks j >= i; block i of a class meets all blocks of the next
+    uses = F.concat(
+        F.array(row(zero, own, own, 0)),
+        F.transform(F.filter(count(F.col("parts")), lambda j: j > own), lambda j: row(zero, own, j, 0)),
+        F.transform(F.filter(count(F.col("parts")), lambda i: i < own), lambda i: row(zero, i, own, 1)),
+        F.transform(count(F.col("after")), lambda j: row(one, own, j, 0)),
+        F.transform(count(F.col("before")), lambda i: row(one, i, own, 1)),
+    )
+    g = g.select("key", "root", "class", F.explode(uses).alias("u"))
+    tile = F.struct("root", (F.col("class") - F.when((F.col("u.step") == 1) & (F.col("u.side") == 1), 1).otherwise(0)).alias("class"), "u.step", "u.i", "u.j")
+    g = g.select("key", F.xxhash64(tile).alias("tile"), F.col("u.side").alias("side"))
+    body = _bodies(docs, group.select("key"), owner)
+    rows = body.join(g, "key").select("tile", "side", "key", "body")
+    return rows.repartition("tile").sortWithinPartitions("tile", "side", "key").mapInArrow(tiles, "a bigint, b bigint")
+
+
+def join(docs: DataFrame, frequent_over: int = FREQUENT, longest: int = LONG, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Links among docs (doc_id, text) at Jaccard similarity 0.8 of five-word shingle sets.
 
     Returns ``(documents, links)``: documents has a row for each row of docs: doc_id,
@@ -387,22 +439,15 @@ def join(docs: DataFrame, frequent_over: int = FREQUENT, longest: int = LONG) ->
     index = keep(stage(stage(first, counted(parts, frequent_over)), placed(parts)), "index")
     by_shingle = index.repartition(parts, "dest").sortWithinPartitions("dest")
     alpha = F.expr("(4 * (na + nb) + 8) div 9")
-    enough = F.col("hits") >= 1 + F.floor(alpha / 24)
-    hits = keep(by_shingle.mapInArrow(short_pairs(longest), PAIR).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum(F.when(~F.col("long"), F.col("hits")).otherwise(0)).alias("hits"), F.max("long").alias("long")), "hits")
-    tried = keep(hits.where(enough | F.col("long")).select("a", "b"), "pairs")
+    hits = by_shingle.mapInArrow(short_pairs(longest), PAIR).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("hits").alias("hits"))
+    # a linked pair that meets in no long list shows all the shingles that must show in short ones
+    tried = keep(hits.where(F.col("hits") >= 1 + F.floor(alpha / 24)).select("a", "b"), "pairs")
     links = _verified(docs, tried, owner)
+    members = keep(by_shingle.mapInArrow(long_members(longest), "a bigint, b bigint, n int").distinct(), "members")
+    if not members.isEmpty():
+        links = links.union(_grouped_links(docs, members, owner, block))
+    links = keep(links, "links")
     roots = components(links)
-    long = keep(by_shingle.mapInArrow(long_entries(longest), "shingle bigint, key bigint, n int, pos int"), "long")
-    if not long.isEmpty():
-        named = long.join(roots, long["key"] == roots["node"], "left").select("shingle", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-        more = named.repartition("shingle").sortWithinPartitions("shingle", "n", "key").mapInArrow(cross_pairs, PAIR)
-        more = more.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("hits").alias("hits"))
-        # hits of the short lists count too; a pair of one class needs no comparison
-        all_ = more.union(hits.where("hits > 0").join(more, ["a", "b"], "left_semi").select("a", "b", "na", "nb", "hits"))
-        again = all_.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("hits").alias("hits")).where(enough).select("a", "b").join(tried, ["a", "b"], "left_anti")
-        again = keep(again, "pairs")
-        links = links.union(_verified(docs, again, owner))
-        roots = components(links)
     least = owner.join(roots, owner["key"] == roots["node"], "left").select("key", "doc_id", "copies", F.coalesce("root", "key").alias("root"))
     least = keep(least, "roots")
     linked = least.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")

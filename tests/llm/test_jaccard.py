@@ -62,7 +62,7 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("seed,how", [(1, {}), (2, {"frequent_over": 3, "longest": 4}), (3, {"frequent_over": 8, "longest": 6})])
+@pytest.mark.parametrize("seed,how", [(1, {}), (2, {"frequent_over": 3, "longest": 4}), (3, {"frequent_over": 8, "longest": 6}), (4, {"frequent_over": 3, "longest": 2, "block": 7}), (5, {"frequent_over": 1, "longest": 1, "block": 20})])
 def test_equals_comparing_all(spark, seed, how):
     rows = corpus(seed)
     assert found(spark, rows, **how) == brute(rows)
