@@ -99,14 +99,15 @@ def held_out(c: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, folds: int = 5) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, folds: int = 5, chars: int = 20_000) -> list[tuple[str, int]]:
     """(text, label) of at most ``each`` learning documents of either label, chosen by a hash
-    of their ids.  The bound makes the sample safe to hold in the driver.  An id labelled
+    of their ids, a text's first ``chars`` characters (for learning only; scores are of whole
+    texts).  The bounds make the sample safe to hold in the driver.  An id labelled
     twice counts once, as 1 if any label is 1."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("y = 1").orderBy(*order).limit(each).union(known.where("y = 0").orderBy(*order).limit(each))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").select("text", "y").collect()
+    rows = docs.select("doc_id", F.left("text", F.lit(chars)).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").select("text", "y").collect()
     return [(r["text"] or "", r["y"]) for r in rows[: 4 * each]]
 
 

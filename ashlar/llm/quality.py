@@ -91,6 +91,19 @@ def lines(texts: list[str]) -> Lines:
     return Lines(f, some, first)
 
 
+def in_parts(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in lists of about ``most`` characters."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def beside(f: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Features of each line, the one before and the one after (zero at a text's ends), and a one."""
     before, after = np.zeros_like(f), np.zeros_like(f)
@@ -161,27 +174,22 @@ def train(sample: list[tuple[str, int]]) -> Model:
     y = np.array([b for _, b in sample], float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0), np.zeros((2, 2)), 0.0, -6.0 if len(y) and y.max() == 0 else 6.0)
-    texts = ["\n".join(t.split("\n")[:LINES]) for t, _ in sample]
-    x = lines(texts)
-    f = beside(x.features, x.first)
-    bad = np.repeat(1 - y, np.diff(x.first))
     # the labels weigh the same in training; calibration brings the true shares back
-    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
-    w, trans = np.zeros(f.shape[1]), np.zeros((2, 2))
-    groups = [np.flatnonzero(y == v) for v in (0, 1)]
     parts = []
-    for g in groups:
-        rows = np.concatenate([np.arange(x.first[i], x.first[i + 1]) for i in g])
-        first = np.concatenate(([0], np.cumsum(np.diff(x.first)[g])))
-        parts.append((f[rows], bad[rows], first, each[g[0]]))
+    for label in (0, 1):
+        weight = 0.5 * len(y) / (y == label).sum()
+        for texts in in_parts(["\n".join(t.split("\n")[:LINES]) for t, b in sample if b == label]):
+            x = lines(texts)
+            parts.append((beside(x.features, x.first).astype(np.float32), 1.0 - label, x.first, weight))
+    width = parts[0][0].shape[1]
+    w, trans = np.zeros(width), np.zeros((2, 2))
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))
     for step in range(1, ROUNDS + 1):
         gw, gt = 1e-3 * len(y) * w, 1e-2 * len(y) * trans
         for ff, b, first, weight in parts:
             p, joint, _ = marginals(ff @ w, trans, first)
             seen = np.zeros((2, 2))
-            k = int(b[0])
-            seen[k, k] = len(b) - (len(first) - 1)
+            seen[int(b), int(b)] = len(p) - (len(first) - 1)
             gw = gw + weight * (ff.T @ (p - b))
             gt = gt + weight * (joint - seen)
         for g, m, v, par in ((gw, mw, vw, w), (gt, mt, vt, trans)):
@@ -189,7 +197,8 @@ def train(sample: list[tuple[str, int]]) -> Model:
             v += 0.01 * (g * g - v)
             par -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     model = Model(w, trans, 1.0, 0.0)
-    slope, shift = logistic(model.badness([t for t, _ in sample])[:, None], y, ridge=1.0)
+    odds = np.concatenate([model.badness(part) for part in in_parts([t for t, _ in sample])])
+    slope, shift = logistic(odds[:, None], y, ridge=1.0)
     return Model(w, trans, float(slope), float(shift))
 
 
