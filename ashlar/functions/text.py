@@ -5,27 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def _scaled(n: Column, units: tuple[str, ...], base: int, tail: str) -> Column:
-    """n by the largest unit it reaches; whole multiples without decimals, else as many of
-    two, one or no decimals as fit five characters with the letter."""
-    out = F.concat(n.cast("string"), F.lit(tail))
+BINARY = ("K", "M", "G", "T", "P", "E")
+
+
+def _scaled(n: Column, first: str, units: tuple[str, ...], base: int, decimals: bool = True) -> Column:
+    """n by the largest unit it reaches; whole multiples (and times) without decimals, else as
+    many of two, one or no decimals as fit five characters with the letter."""
+    out = F.concat(n.cast("string"), F.lit(first))
     size = 1
     for letter in units:
         size *= base
-        q = n.cast("decimal(38,10)") / F.lit(size).cast("decimal(38,0)")
-        forms = [F.bround(q, d).cast(f"decimal(38,{d})").cast("string") for d in (2, 1, 0)]
-        whole = (n / size).cast("bigint").cast("string")
-        fit = F.when(n % size == 0, whole).when(F.length(forms[0]) <= 4, forms[0]).when(F.length(forms[1]) <= 4, forms[1]).otherwise(forms[2])
-        out = F.when(n >= size, F.concat(fit, F.lit(letter + tail))).otherwise(out)
+        whole = F.floor(n.cast("decimal(38,0)") / F.lit(size).cast("decimal(38,0)")).cast("string")
+        if decimals:
+            q = n.cast("decimal(38,10)") / F.lit(size).cast("decimal(38,0)")
+            two, one, none = (F.bround(q, d).cast(f"decimal(38,{d})").cast("string") for d in (2, 1, 0))
+            whole = F.when(n % size == 0, whole).when(F.length(two) <= 4, two).when(F.length(one) <= 4, one).otherwise(none)
+        out = F.when(n >= size, F.concat(whole, F.lit(letter))).otherwise(out)
     return out
 
 
 def nice_number(n: Column) -> Column:
-    return _scaled(n, ("K", "M", "G", "T", "P", "E"), 1000, "")
+    return _scaled(n, "", BINARY, 1024)
 
 
 def nice_bytes(n: Column) -> Column:
-    return _scaled(n, ("K", "M", "G", "T", "P", "E"), 1024, "")
+    return _scaled(n, "B", BINARY, 1024)
+
+
+def nice_latency_ns(n: Column) -> Column:
+    return _scaled(n, "ns", ("us", "ms", "s"), 1000, decimals=False)
+
+
+def nice_rate(n: Column, ms: Column, unit: str = "") -> Column:
+    """n a second, as a number with a unit; a time of zero counts as one millisecond."""
+    return F.concat(nice_number((n * 1000 / F.greatest(ms, F.lit(1))).cast("bigint")), F.lit(f"{unit}/s"))
 
 
 def nice_byte_rate(n: Column, ms: Column) -> Column:
