@@ -11,6 +11,7 @@ base span are selected.  Text work is split, extraction and array functions in t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -81,9 +82,9 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, kind: int, pattern: str, hint: Column) -> Column:
-    """All matches, leftmost and not overlapping, with code point positions (end exclusive)
-    and up to 24 characters before and the one after.  The pieces between matches give the
+def located(text: Column, kind: int, pattern: str, hint: Column, fits: Callable[[Column], Column] = lambda m: F.lit(True)) -> Column:
+    """Matches that fit, leftmost and not overlapping, with code point positions (end
+    exclusive) and up to 24 characters before and the one after.  The pieces between matches give the
     positions, in one pass over the matches."""
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -93,7 +94,7 @@ def located(text: Column, kind: int, pattern: str, hint: Column) -> Column:
         s = a["at"] + F.length(x["0"])
         e = s + F.coalesce(F.length(x["1"]), F.lit(0))
         one = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), x["1"].alias("m"), F.right(x["0"], F.lit(24)).alias("left"), F.left(x["2"], F.lit(1)).alias("right"))
-        return F.struct(e.alias("at"), F.when(x["1"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(one))).alias("out"))
+        return F.struct(e.alias("at"), F.when(x["1"].isNotNull() & fits(x["1"]), F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
     return F.when(hint, F.aggregate(z, start, step)["out"]).otherwise(F.array().cast(SPAN))
@@ -102,7 +103,7 @@ def located(text: Column, kind: int, pattern: str, hint: Column) -> Column:
 def base(text: Column) -> Column:
     """The base spans, by start and kind."""
     def of(i: int, k: str) -> Column:
-        return F.filter(located(text, i, BASE[k], HINT[k](text)), lambda x: valid(k, x["m"]))
+        return located(text, i, BASE[k], HINT[k](text), lambda m: valid(k, m))
 
     all_ = [of(i, k) for i, k in enumerate(KINDS)]
     return F.array_sort(F.concat(*all_), lambda a, b: F.when((a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["kind"] < b["kind"])), -1).otherwise(F.when((a["s"] == b["s"]) & (a["kind"] == b["kind"]), 0).otherwise(1)))

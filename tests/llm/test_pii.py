@@ -38,7 +38,7 @@ def brute(text):
 TRICKY = [
     "a@b.c@d.e x@y.z_q@r.s 😀 é@e.fr a@b a.b@c.d.", "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.255 99999999999.1.1.1 1.2.3",
     "4111111111111111 4111 1111 1111 1111 4111-1111-1111-1112 4  111", "+1 (555) 123-4567. +12345678 ++1 2 3 4 5 6 7 8 9+49.30.1234567 +1234567890123456",
-    "+4111111111111111 4111111111111111@x.yz 10.0.0.1@h.i", "é" * 50 + "me@x.org" + "😀" * 3 + "10.1.2.3", "a" * 20000 + "@", "1" * 20000, "1." * 5000, "+1" + " " * 20000, "@" * 5000, "a.b@" * 3000, "a@b" + ".c" * 5000,
+    "+4111111111111111 4111111111111111@x.yz 10.0.0.1@h.i", "é" * 50 + "me@x.org" + "😀" * 3 + "10.1.2.3", "a" * 20000 + "@", "1" * 20000, "1." * 5000, "+1" + " " * 20000, "@" * 5000, "a.b@" * 3000, "a@b" + ".c" * 5000, "12,345," * 15000,
 ]
 
 
