@@ -3,7 +3,7 @@
 A token's features are its subsequences of three letters inside a span of at most SPAN,
 each weighing DECAY to the power of its span, so an insult with gaps or inserted
 characters still shares most of them.  The kernel of a sentence and a landmark token is
-the largest normalised kernel, squared, of the sentence's tokens with it.  Landmarks are the tokens
+the largest normalised kernel of the sentence's tokens with it, less a floor.  Landmarks are the tokens
 that set toxic learning documents apart; Nystroem's map of the kernel values feeds a
 linear machine, trained on sentences: those of clean documents against, for each toxic
 document, the sentence that looks worst so far.  A document's margin is its worst
@@ -23,10 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, logistic, reachable
+from .common import labelled_sample, reachable
 
 DECAY, SPAN = 0.8, 6
-LANDMARKS, APART = 40, 0.5
+LANDMARKS, APART = 64, 0.7
+#: Normalised kernel values up to this are chance likeness of words and count as none.
+FLOOR = 0.25
+#: From this value (less the floor) on, a token of a toxic document stands for its landmark in learning.
+WITNESS = 0.6
 #: Learning documents of either label at most, sentences of one of them, tokens a worker remembers.
 SAMPLE, SENTENCES, CACHE = 2000, 200, 200_000
 #: Tokens longer than this are cut into pieces that overlap by half.
@@ -77,14 +81,29 @@ def pieces(token: bytes) -> list[bytes]:
     return [t[i : i + LONGEST] for i in range(0, len(t) - LONGEST // 2, LONGEST // 2)]
 
 
-def norms(n: np.ndarray) -> np.ndarray:
-    """Norm of a token of n letters whose subsequences are all different."""
+def least_norms(n: np.ndarray) -> np.ndarray:
+    """Norm of a token of n letters if its subsequences are all different; repeats only add to it."""
     total = np.zeros(len(n))
     for _, k in _GAPS:
         total += np.maximum(n - k, 0) * DECAY ** (2 * (k + 1))
     return np.sqrt(np.maximum(total, 1e-12))
 
 
+def norms(words: list[bytes]) -> np.ndarray:
+    """Norms of tokens."""
+    parts = list(subsequences(words))
+    out = np.full(len(words), 1e-12)
+    if parts:
+        key = np.concatenate([word * 28**3 + code for word, code, _ in parts])
+        weight = np.concatenate([np.full(len(word), w) for word, _, w in parts])
+        order = np.argsort(key, kind="stable")
+        key, weight = key[order], weight[order]
+        if len(key):
+            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            out += np.bincount(key[cut] // 28**3, np.add.reduceat(weight, cut) ** 2, minlength=len(words))
+    return np.sqrt(out)
+
+
 def subsequences(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """(word index, subsequence code, weight) for every gap pattern, words' order kept."""
     data = np.frombuffer(b"".join(words), np.uint8)
@@ -110,7 +129,7 @@ class Kernel:
         self.table /= np.sqrt((self.table.astype(np.float64) ** 2).sum(axis=0)) + 1e-12
         self.any = self.table.any(axis=1)
         self.rows = np.zeros((CACHE, self.m), np.float32)
-        self.ends = np.zeros(CACHE, bool)
+        self.ends, self.live = np.zeros(CACHE, bool), np.zeros(CACHE, bool)
         self.known: dict[bytes, int] = {}
 
     def values(self, words: list[bytes]) -> np.ndarray:
@@ -123,7 +142,10 @@ class Kernel:
             if len(word):
                 cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
                 out[word[cut]] += np.add.reduceat(self.table[code], cut) * np.float32(weight)
-        return (np.minimum(out / norms(np.array([len(w) for w in words]))[:, None], 1) ** 2).astype(np.float32)
+        norm = least_norms(np.array([len(w) for w in words]))
+        near = np.flatnonzero(out.max(axis=1, initial=0) > 0.1 * norm)  # exact where it can matter
+        norm[near] = norms([words[i] for i in near])
+        return (np.maximum(np.minimum(out / norm[:, None], 1) - FLOOR, 0) / (1 - FLOOR)).astype(np.float32)
 
     def of(self, toks: list[bytes]) -> np.ndarray:
         """Values of tokens, the larger of the pieces' for a cut one."""
@@ -136,6 +158,7 @@ class Kernel:
     def learn(self, new: list[bytes]) -> None:
         n = len(self.known)
         self.rows[n : n + len(new)] = self.of(new)
+        self.live[n : n + len(new)] = self.rows[n : n + len(new)].any(axis=1)
         self.ends[n : n + len(new)] = [t.endswith(b".") for t in new]
         self.known.update(zip(new, range(n, n + len(new))))
 
@@ -168,7 +191,15 @@ class Kernel:
                 mine = begins[(begins >= x) & (begins < x + len(part))] - x
                 first[mine] = True
                 cut = np.flatnonzero(first)
-                got = np.maximum.reduceat(self.rows[ids], cut if len(cut) and cut[0] == 0 else np.concatenate(([0], cut)))
+                begun = first.copy()
+                begun[0] = True
+                nth = np.cumsum(begun) - 1
+                got = np.zeros((nth[-1] + 1, self.m), np.float32)
+                live = self.live[ids]  # most tokens are like no landmark
+                nth, ids = nth[live], ids[live]
+                if len(ids):
+                    at_ = np.flatnonzero(np.concatenate(([True], nth[1:] != nth[:-1])))
+                    got[nth[at_]] = np.maximum.reduceat(self.rows[ids], at_)
                 if best is not None and not first[0]:  # a sentence that goes on
                     best[-1][-1] = np.maximum(best[-1][-1], got[0])
                     got = got[1:]
@@ -188,29 +219,28 @@ class Model:
     landmarks: list[bytes]
     weights: np.ndarray  # of the kernel values: Nystroem's map and the machine in one
     bias: float
-    slope: float
-    shift: float
+    margins: np.ndarray  # ascending, with the probability at each; between them it is interpolated
+    chances: np.ndarray
 
     def scores(self, kernel: Kernel, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         if not self.landmarks:
-            return np.full(len(texts), 1 / (1 + np.exp(-self.shift)))
+            return np.full(len(texts), self.chances[0])
         k, first = kernel.sentences(texts)
         worst = np.maximum.reduceat(k @ self.weights + self.bias, first)
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
+        return np.interp(worst, self.margins, self.chances)
 
 
-def machine(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> np.ndarray:
-    """Weights (bias last) of a linear support vector machine with squared hinge loss, classes in balance."""
+def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
+    """Weights (bias last) of a linear support vector machine with squared hinge loss."""
     x = np.column_stack([x, np.ones(len(x))])
     s = np.where(y > 0, 1.0, -1.0)
-    v = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y <= 0).sum())))
     w = np.zeros(x.shape[1])
     for _ in range(100):
         gap = 1 - s * (x @ w)
         on = gap > 0
-        xo = x[on] * (c * v[on])[:, None]
+        xo = x[on] * c
         h = xo.T @ x[on] + np.eye(len(w)) * 0.5
         new = np.linalg.solve(h, xo.T @ s[on])
         if np.abs(new - w).max() < 1e-6:
@@ -219,16 +249,39 @@ def machine(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> np.ndarray:
     return w
 
 
+def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margins and the probabilities of label 1 there: isotonic regression, each pooled block
+    smoothed by one row of even odds."""
+    order = np.argsort(margin, kind="stable")
+    blocks: list[list[float]] = []  # rows, ones, lowest and highest margin
+    for m, v in zip(margin[order].tolist(), y[order].tolist()):
+        blocks.append([1, v, m, m])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+            n, ones, _, high = blocks.pop()
+            blocks[-1][0] += n
+            blocks[-1][1] += ones
+            blocks[-1][3] = high
+    chance = np.maximum.accumulate([(b[1] + 0.5) / (b[0] + 1) for b in blocks])
+    return np.array([x for b in blocks for x in b[2:]]), np.repeat(chance, 2)
+
+
 def train(sample: list[tuple[str, int]]) -> Model:
     """A model from (text, label) rows; without both labels every score is the same."""
     y = np.array([b for _, b in sample], float)
     if not len(y) or y.min() == y.max():
-        return Model([], np.zeros(0), 0.0, 1.0, -6.0 if not len(y) or y.max() == 0 else 6.0)
-    bad, good = Counter(), Counter()
+        return Model([], np.zeros(0), 0.0, np.zeros(1), np.array([0.0025 if not len(y) or y.max() == 0 else 0.9975]))
+    # distinct sentences with a token: those of copied documents count once
+    bad, good, seen = Counter(), Counter(), set()
     for text, label in sample:
-        (bad if label else good).update({p for t in tokens(text) for p in pieces(t) if len(p) >= 4})
+        toks = tokens(text)
+        ends = [0, *(i for i, t in enumerate(toks, 1) if t.endswith(b".") or i == len(toks))]
+        for a, b in zip(ends, ends[1:]):
+            s = (label, hash(tuple(toks[a:b])))
+            if s not in seen:
+                seen.add(s)
+                (bad if label else good).update({p for t in toks[a:b] for p in pieces(t) if len(p) >= 4})
     n1, n0 = y.sum(), len(y) - y.sum()
-    odds = {t: n * np.log((n + 0.5) / (n1 + 1) * (n0 + 1) / (good[t] + 0.5)) for t, n in bad.items() if n >= max(3, n1 / 70) and n / n1 > 8 * good[t] / n0}
+    odds = {t: n * np.log((n + 0.5) / (n1 + 1) * (n0 + 1) / (good[t] + 0.5)) for t, n in bad.items() if n >= max(3, n1 / 70) and 20 * good[t] <= n}
     landmarks: list[bytes] = []
     for t in sorted(odds, key=lambda t: (-odds[t], t))[:4000]:
         if not landmarks or Kernel(landmarks).values([t]).max() < APART:
@@ -236,22 +289,22 @@ def train(sample: list[tuple[str, int]]) -> Model:
         if len(landmarks) == LANDMARKS:
             break
     if not landmarks:
-        return Model([], np.zeros(0), 0.0, 1.0, float(np.log(n1 / n0)))
+        return Model([], np.zeros(0), 0.0, np.zeros(1), np.array([n1 / (n0 + n1)]))
     kernel = Kernel(landmarks)
     k, first = kernel.sentences([t for t, _ in sample])
     doc = np.repeat(np.arange(len(sample)), np.diff(np.append(first, len(k))))
     value, vector = np.linalg.eigh(kernel.values(landmarks).astype(float) / 2 + kernel.values(landmarks).T.astype(float) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    margin = k.sum(axis=1)
     nth = np.arange(len(k)) - first[doc]
-    for _ in range(5):
-        worst = np.array([a + int(np.argmax(margin[a:b])) for a, b in zip(first, np.append(first[1:], len(k)))])
-        use = np.concatenate([worst[y == 1], np.flatnonzero((y[doc] == 0) & (nth < SENTENCES))])
-        w = machine(k[use] @ root, y[doc[use]])
-        margin = k @ (root @ w[:-1]) + w[-1]
+    # toxic sentences: those of toxic documents that hold a token much like a landmark
+    shown = np.flatnonzero((y[doc] == 1) & (k.max(axis=1) >= WITNESS))
+    if not len(shown):
+        shown = np.flatnonzero(y[doc] == 1)
+    use = np.concatenate([shown, np.flatnonzero((y[doc] == 0) & (nth < SENTENCES))])
+    w = machine(k[use] @ root, y[doc[use]])
+    margin = k @ (root @ w[:-1]) + w[-1]
     top = np.maximum.reduceat(margin, first)
-    slope, shift = logistic(top[:, None], y, ridge=1.0)
-    return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), float(slope), float(shift))
+    return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), *calibrated(top, y))
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
