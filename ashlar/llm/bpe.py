@@ -26,9 +26,9 @@ from .common import reachable
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers, and the longest of them in characters.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
+CACHE_WORDS, CACHE_CHARS = 400_000, 48
 #: Looked-up arcs that a worker remembers.
-TABLE_ARCS = 2_000_000
+TABLE_ARCS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,15 +58,14 @@ class Automaton:
             left, right = vocab[a], vocab[b]
             self.taken.setdefault((left, right), rank)
             self.made.setdefault(vocab[a + b], (rank, left, right))
-        self.trie: list[dict[int, int]] = [{}]
+        self.trie: dict[int, int] = {}  # node << 8 | byte -> node
         self.ends: list[int] = [-1]
         for s, i in vocab.items():
             node = 0
             for byte in self.labels[i]:
-                after = self.trie[node].get(byte)
+                after = self.trie.get(node << 8 | byte)
                 if after is None:
-                    after = self.trie[node][byte] = len(self.trie)
-                    self.trie.append({})
+                    after = self.trie[node << 8 | byte] = len(self.ends)
                     self.ends.append(-1)
                 node = after
             self.ends[node] = i
@@ -93,7 +92,7 @@ class Automaton:
         """The labels that spell word from i on, shortest first."""
         trie, ends, node, out = self.trie, self.ends, 0, []
         for byte in word[i : i + self.longest]:
-            node = trie[node].get(byte)
+            node = trie.get(node << 8 | byte)
             if node is None:
                 break
             if ends[node] >= 0:

@@ -32,7 +32,7 @@ FLOOR = 0.25
 #: From this value (less the floor) on, a token of a toxic document stands for its landmark in learning.
 WITNESS = 0.6
 #: Learning documents of either label at most, sentences of one of them, tokens a worker remembers.
-SAMPLE, SENTENCES, CACHE = 2000, 200, 200_000
+SAMPLE, SENTENCES, CACHE = 1500, 100, 150_000
 #: Tokens longer than this are cut into pieces that overlap by half.
 LONGEST = 24
 
@@ -234,15 +234,14 @@ class Model:
 
 def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
     """Weights (bias last) of a linear support vector machine with squared hinge loss."""
-    x = np.column_stack([x, np.ones(len(x))])
+    x = np.column_stack([x, np.ones(len(x), np.float32)])
     s = np.where(y > 0, 1.0, -1.0)
     w = np.zeros(x.shape[1])
     for _ in range(100):
         gap = 1 - s * (x @ w)
         on = gap > 0
-        xo = x[on] * c
-        h = xo.T @ x[on] + np.eye(len(w)) * 0.5
-        new = np.linalg.solve(h, xo.T @ s[on])
+        xo = x[on].astype(float)
+        new = np.linalg.solve(c * (xo.T @ xo) + np.eye(len(w)) * 0.5, c * (xo.T @ s[on]))
         if np.abs(new - w).max() < 1e-6:
             return new
         w = (w + new) / 2
@@ -291,7 +290,10 @@ def train(sample: list[tuple[str, int]]) -> Model:
     if not landmarks:
         return Model([], np.zeros(0), 0.0, np.zeros(1), np.array([n1 / (n0 + n1)]))
     kernel = Kernel(landmarks)
-    k, first = kernel.sentences([t for t, _ in sample])
+    parts = [kernel.sentences([t for t, _ in sample[i : i + 100]]) for i in range(0, len(sample), 100)]
+    before = np.cumsum([0, *(len(x) for x, _ in parts[:-1])])
+    k, first = np.concatenate([x for x, _ in parts]), np.concatenate([f + n for (_, f), n in zip(parts, before)])
+    del parts
     doc = np.repeat(np.arange(len(sample)), np.diff(np.append(first, len(k))))
     value, vector = np.linalg.eigh(kernel.values(landmarks).astype(float) / 2 + kernel.values(landmarks).T.astype(float) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
@@ -301,6 +303,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
     if not len(shown):
         shown = np.flatnonzero(y[doc] == 1)
     use = np.concatenate([shown, np.flatnonzero((y[doc] == 0) & (nth < SENTENCES))])
+    root = root.astype(np.float32)
     w = machine(k[use] @ root, y[doc[use]])
     margin = k @ (root @ w[:-1]) + w[-1]
     top = np.maximum.reduceat(margin, first)
