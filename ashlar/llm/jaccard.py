@@ -209,6 +209,12 @@ def reaches(n: np.ndarray, pos: np.ndarray, m: np.ndarray, mpos: np.ndarray) ->
     return (n - pos + slack >= 0) & (m - mpos + slack >= 0)
 
 
+def farthest(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """No less than the largest size that an entry can reach from its position: with m, alpha
+    less what shared() forgives must not pass n - pos."""
+    return (9 * 24 * (n - pos + 1) // 23 + 9) // 4 - n
+
+
 PAIR = "a bigint, b bigint, na int, nb int, hits bigint"
 
 
@@ -242,16 +248,20 @@ def short_pairs(longest: int = LONG):
             t, k, n, pos = t[use], k[use], n[use], pos[use]
             found: list[tuple] = []
             size = 0
-            # pairs at distance d within the lists, for all lists at once
+            # entry i meets the entries behind it, for all lists at once, and leaves its list at
+            # the first size that it cannot reach from its position; the rest is skipped
+            far = np.minimum(farthest(n, pos), 5 * n // 4)
+            i = np.arange(len(t))
             for d in range(1, int(many[many <= longest].max(initial=0))):
-                i = np.flatnonzero(t[d:] == t[:-d])
+                i = i[i + d < len(t)]
+                i = i[(t[i + d] == t[i]) & (n[i + d] <= far[i])]
+                if not len(i):
+                    break
                 j = i + d
-                ok = (4 * n[j] <= 5 * n[i]) & (k[i] != k[j])
-                i, j = i[ok], j[ok]
-                ok = reaches(n[i], pos[i], n[j], pos[j])
-                i, j = i[ok], j[ok]
-                found.append((k[i], k[j], n[i], n[j]))
-                size += len(i)
+                ok = (k[i] != k[j]) & reaches(n[i], pos[i], n[j], pos[j])
+                x, y = i[ok], j[ok]
+                found.append((k[x], k[y], n[x], n[y]))
+                size += len(x)
                 if size > 1 << 19:
                     yield pairs_batch(*map(np.concatenate, zip(*found)))
                     found, size = [], 0
