@@ -26,7 +26,7 @@ from .jaccard import BLOB, dealt, grouped, pack, rows, unpack
 from .shingles import _byte, _power, mix
 
 #: Context bytes; bytes of text a worker takes at once; strings it holds before it passes them on.
-DEPTH, TEXT, HELD = 5, 3 << 20, 3 << 20
+DEPTH, TEXT, HELD = 5, 2 << 20, 2 << 20
 #: Entries of a shard that a scoring worker holds.
 SHARD = 8 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -292,15 +292,17 @@ def shard_tables(path: str) -> list:
         for f in store.get_file_info(fs.FileSelector(base)):
             if f.path.endswith(".parquet"):
                 with store.open_input_file(f.path) as file:
-                    t = pq.ParquetFile(file).read()
-                for kind, body in zip(t["kind"].to_pylist(), t["body"].to_pylist()):
-                    got[kind].append(unpack(body, "<u8", "<f8"))
+                    for b in pq.ParquetFile(file).iter_batches(batch_size=4, columns=["kind", "body"]):
+                        for kind, body in zip(b.column(0).to_pylist(), b.column(1)):
+                            got[kind].append([x.copy() for x in unpack(body.as_buffer().to_pybytes(), "<u8", "<f8")])
         out = []
         for kind in (0, 1):
             k = np.concatenate([x[0] for x in got[kind]] or [np.empty(0, np.uint64)])
             v = np.concatenate([x[1] for x in got[kind]] or [np.empty(0)])
+            got[kind].clear()
             order = np.argsort(k)
-            out.append((k[order], v[order]))
+            k, v = k[order], v[order]
+            out.append((k, v))
         _loaded[path] = out
     return _loaded[path]
 
