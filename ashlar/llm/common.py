@@ -45,6 +45,9 @@ def reachable(spark: SparkSession) -> SparkSession:
     if not spark.sparkContext.getConf().contains(BATCH):
         spark.conf.set(BATCH, str(8 << 20))
     env = spark.sparkContext.environment
+    # workers live through many stages: let them give large freed blocks back to the system
+    for name, value in (("MALLOC_ARENA_MAX", "2"), ("MALLOC_MMAP_THRESHOLD_", str(8 << 20)), ("MALLOC_TRIM_THRESHOLD_", str(16 << 20))):
+        env.setdefault(name, value)
     if _root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), _root) if x)
     return spark

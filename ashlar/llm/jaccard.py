@@ -32,7 +32,7 @@ ZONE = np.uint64(1 << 63)
 #: Index entries a task is meant to hold, and filter rows up to which a filter is broadcast.
 TASK, FILTER = 1 << 19, 2_000_000
 #: Bytes of text that a worker turns into index entries at once.
-TEXT = 6 << 20
+TEXT = 3 << 20
 
 BLOB = "dest int, kind int, body binary"
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text hashed at once; a longer text is a piece by itself.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32  # A-Z only
