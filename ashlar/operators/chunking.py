@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.addr import addr, data
 
 WINDOW = 48
+#: Bytes hashed at once.
+STRIDE = 1 << 15
 #: The hash of each byte value: the first four bytes of SHA-256 of that byte.
 TABLE = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:4], "big") for i in range(256)], np.uint32)
 
@@ -73,7 +75,13 @@ def cuts(payload: bytes, least: int, most: int, threshold: int) -> list[int]:
     n = len(payload)
     if n <= least:
         return [n] if n else []
-    candidates = np.flatnonzero(rolling(np.frombuffer(payload, np.uint8)) <= threshold) + 1
+    data = np.frombuffer(payload, np.uint8)
+    found = []
+    for at in range(0, n, STRIDE):  # in strides that stay in the processor's cache
+        before = min(at, WINDOW - 1)
+        h = rolling(data[at - before : at + STRIDE])
+        found.append(np.flatnonzero(h[before:] <= threshold) + (at + 1))
+    candidates = np.concatenate(found)
     out, start = [], 0
     while n - start > least:
         i = np.searchsorted(candidates, start + least + 1)
