@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -102,16 +103,31 @@ def held_out(c: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, folds: int = 5, chars: int = 20_000) -> list[tuple[str, int]]:
-    """(text, label) of at most ``each`` learning documents of either label, chosen by a hash
-    of their ids, a text's first ``chars`` characters (for learning only; scores are of whole
-    texts).  The bounds make the sample safe to hold in the driver.  An id labelled
-    twice counts once, as 1 if any label is 1."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, folds: int = 5, chars: int = 20_000) -> tuple[list[tuple[str, int]], dict[int, float]]:
+    """(text, label) of at most ``each`` learning rows of either label, chosen by a hash of id
+    and text, a text's first ``chars`` characters (for learning only; scores are of whole
+    texts), and for each label the learning rows that a row of the sample stands for.  The
+    bounds make the sample safe to hold in the driver.  An id labelled twice counts once, as
+    1 if any label is 1; a row repeated with its text counts once."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = known.where("y = 1").orderBy(*order).limit(each).union(known.where("y = 0").orderBy(*order).limit(each))
-    rows = docs.select("doc_id", F.left("text", F.lit(chars)).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").select("text", "y").collect()
-    return [(r["text"] or "", r["y"]) for r in rows[: 4 * each]]
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    mark = F.xxhash64("doc_id", "text")
+    learning = keep(docs.select("doc_id", mark.alias("mark")).join(known, "doc_id").distinct(), "learning")
+    total = {r["y"]: r["count"] for r in learning.groupBy("y").count().collect()}
+    first = [learning.where(F.col("y") == y).orderBy("mark", "doc_id").limit(each) for y in (1, 0)]
+    chosen = keep(first[0].union(first[1]), "sample")
+    rows = docs.join(F.broadcast(chosen), "doc_id").where(mark == F.col("mark")).select("doc_id", F.left("text", F.lit(chars)).alias("text"), "y")
+    sample = [(r["text"], r["y"]) for r in rows.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").collect()]
+    taken = Counter(y for _, y in sample)
+    return sample, {y: total[y] / n for y, n in taken.items()}
+
+
+def shares(y, stands_for: dict[int, float] | None):
+    """A weight for each row of a sample with labels y, by what a row of its label stands for; 1 in the mean."""
+    import numpy as np
+
+    v = np.array([(stands_for or {}).get(int(b), 1.0) for b in y])
+    return v / v.mean()
 
 
 def slices(batch, column: int, most: int, rows: int = 1 << 30):

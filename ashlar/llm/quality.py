@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, logistic, reachable, slices
+from .common import labelled_sample, logistic, reachable, shares, slices
 from .shingles import _byte, _power, mix
 
 #: Learning documents of either label at most, lines of one of them, training rounds.
@@ -168,9 +168,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -30, 30)))
 
 
-def train(sample: list[tuple[str, int]]) -> Model:
+def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = None) -> Model:
     """A field from (text, label) rows, label 1 for good; lines inherit the label.  Without
-    both labels every score is the same."""
+    both labels every score is the same.  A row of a label stands for so many learning rows."""
     y = np.array([b for _, b in sample], float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0), np.zeros((2, 2)), 0.0, -6.0 if len(y) and y.max() == 0 else 6.0)
@@ -198,13 +198,13 @@ def train(sample: list[tuple[str, int]]) -> Model:
             par -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     model = Model(w, trans, 1.0, 0.0)
     odds = np.concatenate([model.badness(part) for part in in_parts([t for t, _ in sample])])
-    slope, shift = logistic(odds[:, None], y, ridge=1.0)
+    slope, shift = logistic(odds[:, None], y, ridge=1.0, weight=shares(y, stands_for))
     return Model(w, trans, float(slope), float(shift))
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     """Learn from at most ``each`` labelled documents of either kind outside the held-out fold."""
-    return train(labelled_sample(docs, labels, "quality", each))
+    return train(*labelled_sample(docs, labels, "quality", each))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

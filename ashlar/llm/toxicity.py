@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, reachable
+from .common import labelled_sample, reachable, shares
 
 DECAY, SPAN = 0.8, 6
 LANDMARKS, APART = 64, 0.7
@@ -248,13 +248,14 @@ def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
     return w
 
 
-def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Margins and the probabilities of label 1 there: isotonic regression, each pooled block
-    smoothed by one row of even odds."""
+def calibrated(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Margins and the probabilities of label 1 there: isotonic regression of weighted rows, each
+    pooled block smoothed by one row of even odds."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(margin, kind="stable")
     blocks: list[list[float]] = []  # rows, ones, lowest and highest margin
-    for m, v in zip(margin[order].tolist(), y[order].tolist()):
-        blocks.append([1, v, m, m])
+    for m, v, w in zip(margin[order].tolist(), y[order].tolist(), weight[order].tolist()):
+        blocks.append([w, v * w, m, m])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             n, ones, _, high = blocks.pop()
             blocks[-1][0] += n
@@ -264,8 +265,9 @@ def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array([x for b in blocks for x in b[2:]]), np.repeat(chance, 2)
 
 
-def train(sample: list[tuple[str, int]]) -> Model:
-    """A model from (text, label) rows; without both labels every score is the same."""
+def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = None) -> Model:
+    """A model from (text, label) rows; without both labels every score is the same.  A row of
+    a label stands for so many learning rows."""
     y = np.array([b for _, b in sample], float)
     if not len(y) or y.min() == y.max():
         return Model([], np.zeros(0), 0.0, np.zeros(1), np.array([0.0025 if not len(y) or y.max() == 0 else 0.9975]))
@@ -280,6 +282,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
                 seen.add(s)
                 (bad if label else good).update({p for t in toks[a:b] for p in pieces(t) if len(p) >= 4})
     n1, n0 = y.sum(), len(y) - y.sum()
+    weight = shares(y, stands_for)
     odds = {t: n * np.log((n + 0.5) / (n1 + 1) * (n0 + 1) / (good[t] + 0.5)) for t, n in bad.items() if n >= max(3, n1 / 70) and 20 * good[t] <= n}
     landmarks: list[bytes] = []
     for t in sorted(odds, key=lambda t: (-odds[t], t))[:4000]:
@@ -288,7 +291,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
         if len(landmarks) == LANDMARKS:
             break
     if not landmarks:
-        return Model([], np.zeros(0), 0.0, np.zeros(1), np.array([n1 / (n0 + n1)]))
+        return Model([], np.zeros(0), 0.0, np.zeros(1), np.array([weight @ y / weight.sum()]))
     kernel = Kernel(landmarks)
     parts = [kernel.sentences([t for t, _ in sample[i : i + 100]]) for i in range(0, len(sample), 100)]
     before = np.cumsum([0, *(len(x) for x, _ in parts[:-1])])
@@ -307,12 +310,12 @@ def train(sample: list[tuple[str, int]]) -> Model:
     w = machine(k[use] @ root, y[doc[use]])
     margin = k @ (root @ w[:-1]) + w[-1]
     top = np.maximum.reduceat(margin, first)
-    return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), *calibrated(top, y))
+    return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), *calibrated(top, y, weight))
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     """Learn from at most ``each`` labelled documents of either kind outside the held-out fold."""
-    return train(labelled_sample(docs, labels, "toxic", each))
+    return train(*labelled_sample(docs, labels, "toxic", each))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -97,3 +97,26 @@ def test_gapped_and_inserted_insults():
         assert m.scores(k, [t])[0] < 0.5, t
     long_ = "so it goes " * 60_000
     assert m.scores(k, [long_, long_ + " you moron", ""]).round().tolist() == [0, 1, 0]
+
+
+GOOD, JUNK, INSULT = "The river runs along the hills.", "|| ## {} == || !! @@", "You idiot there."
+
+
+@pytest.mark.parametrize(
+    "module,label,texts,looks,group,share",
+    [
+        # 200 rows of label 1 and 600 of label 0 look the same
+        (quality, "quality", (JUNK, GOOD), lambda i: i % 10 == 0 or i % 3 == 1, 1, 200 / 800),
+        # 100 of label 1 and 1,800 of label 0 look the same
+        (toxicity, "toxic", (GOOD, INSULT), lambda i: i % 20 == 0, 0, 100 / 1900),
+        # no landmark tells the labels apart: one score for all
+        (toxicity, "toxic", (GOOD, INSULT), lambda i: i % 10 == 0 or i % 3 == 1, 1, 200 / 2000),
+    ],
+)
+def test_probabilities_keep_the_shares_of_all_learning_rows(spark, module, label, texts, looks, group, share):
+    rows = [(i, f"{texts[looks(i)]} {zlib.crc32(str(i).encode()):08x}", int(i % 10 == 0)) for i in range(2000)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, y) for i, _, y in rows], f"doc_id bigint, {label} int")
+    for each in (4000, 120):  # all rows; 120 of either label
+        scores = module.score(d, module.fit(d, known, each)).collect()
+        assert np.mean([r["score"] for r in scores if looks(r["doc_id"]) == group]) == pytest.approx(share, abs=0.07)
