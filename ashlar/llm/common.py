@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word of the contracts: a run of characters other than space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,20 +103,29 @@ def held_out(c: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, folds: int = 5, chars: int = 20_000) -> tuple[list[tuple[str, int]], dict[int, float]]:
-    """(text, label) of at most ``each`` learning rows of either label, chosen by a hash of id
-    and text, a text's first ``chars`` characters (for learning only; scores are of whole
-    texts), and for each label the learning rows that a row of the sample stands for.  The
-    bounds make the sample safe to hold in the driver.  An id labelled twice counts once, as
-    1 if any label is 1; a row repeated with its text counts once."""
+#: Characters that a line or sentence of a sample's text counts as.
+PART = 100
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, folds: int = 5, most: int = 8 << 20, parts: str = "") -> tuple[list[tuple[str, int]], dict[int, float]]:
+    """(whole text, label) of at most ``each`` learning rows of either label, the first by a hash
+    of id and text, and for each label the learning rows that a row of the sample stands for.
+    Fewer rows are taken where their texts pass ``most`` characters a label (one row at least),
+    each of the characters ``parts`` that a text has counting as PART; so the sample is
+    safe to hold in the driver.  An id labelled twice counts once, as 1 if any label is 1; a
+    row repeated with its text counts once."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     mark = F.xxhash64("doc_id", "text")
-    learning = keep(docs.select("doc_id", mark.alias("mark")).join(known, "doc_id").distinct(), "learning")
+    size = F.length("text").cast("bigint")
+    if parts:
+        size = size + PART * (F.length("text") - F.length(F.translate("text", parts, "")))
+    learning = keep(docs.select("doc_id", mark.alias("mark"), size.alias("size")).join(known, "doc_id").distinct(), "learning")
     total = {r["y"]: r["count"] for r in learning.groupBy("y").count().collect()}
     first = [learning.where(F.col("y") == y).orderBy("mark", "doc_id").limit(each) for y in (1, 0)]
-    chosen = keep(first[0].union(first[1]), "sample")
-    rows = docs.join(F.broadcast(chosen), "doc_id").where(mark == F.col("mark")).select("doc_id", F.left("text", F.lit(chars)).alias("text"), "y")
+    up_to = F.sum("size").over(Window.partitionBy("y").orderBy("mark", "doc_id"))  # of 2 * each rows
+    chosen = keep(first[0].union(first[1]).withColumn("up_to", up_to).where((F.col("up_to") <= most) | (F.col("up_to") == F.col("size"))).select("doc_id", "mark", "y"), "sample")
+    rows = docs.join(F.broadcast(chosen), "doc_id").where(mark == F.col("mark")).select("doc_id", "text", "y")
     sample = [(r["text"], r["y"]) for r in rows.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").collect()]
     taken = Counter(y for _, y in sample)
     return sample, {y: total[y] / n for y, n in taken.items()}

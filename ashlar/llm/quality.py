@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from .common import labelled_sample, logistic, reachable, shares, slices
 from .shingles import _byte, _power, mix
 
-#: Learning documents of either label at most, lines of one of them, training rounds.
-SAMPLE, LINES, ROUNDS = 1500, 400, 150
+#: Learning documents of either label at most, training rounds.
+SAMPLE, ROUNDS = 1500, 150
 #: Bytes of text scored at once.
 TEXT = 4 << 20
 
@@ -178,7 +178,7 @@ def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = N
     parts = []
     for label in (0, 1):
         weight = 0.5 * len(y) / (y == label).sum()
-        for texts in in_parts(["\n".join(t.split("\n")[:LINES]) for t, b in sample if b == label]):
+        for texts in in_parts([t for t, b in sample if b == label]):
             x = lines(texts)
             parts.append((beside(x.features, x.first).astype(np.float32), 1.0 - label, x.first, weight))
     width = parts[0][0].shape[1]
@@ -204,7 +204,7 @@ def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = N
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     """Learn from at most ``each`` labelled documents of either kind outside the held-out fold."""
-    return train(*labelled_sample(docs, labels, "quality", each))
+    return train(*labelled_sample(docs, labels, "quality", each, parts="\n"))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,8 +31,9 @@ LANDMARKS, APART = 64, 0.7
 FLOOR = 0.25
 #: From this value (less the floor) on, a token of a toxic document stands for its landmark in learning.
 WITNESS = 0.6
-#: Learning documents of either label at most, sentences of one of them, tokens a worker remembers.
-SAMPLE, SENTENCES, CACHE = 1500, 100, 150_000
+#: Learning documents of either label at most, characters of either label's at most (a sentence
+#: counts as some more), tokens a worker remembers.
+SAMPLE, CHARS, CACHE = 1500, 12 << 20, 150_000
 #: Tokens longer than this are cut into pieces that overlap by half.
 LONGEST = 24
 
@@ -239,9 +240,14 @@ def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(100):
         gap = 1 - s * (x @ w)
-        on = gap > 0
-        xo = x[on].astype(float)
-        new = np.linalg.solve(c * (xo.T @ xo) + np.eye(len(w)) * 0.5, c * (xo.T @ s[on]))
+        on = np.flatnonzero(gap > 0)
+        h, g = np.eye(len(w)) * 0.5, np.zeros(len(w))
+        for at in range(0, len(on), 1 << 14):  # double precision for a part of the rows at a time
+            part = on[at : at + (1 << 14)]
+            xo = x[part].astype(float)
+            h += c * (xo.T @ xo)
+            g += c * (xo.T @ s[part])
+        new = np.linalg.solve(h, g)
         if np.abs(new - w).max() < 1e-6:
             return new
         w = (w + new) / 2
@@ -300,12 +306,11 @@ def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = N
     doc = np.repeat(np.arange(len(sample)), np.diff(np.append(first, len(k))))
     value, vector = np.linalg.eigh(kernel.values(landmarks).astype(float) / 2 + kernel.values(landmarks).T.astype(float) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    nth = np.arange(len(k)) - first[doc]
     # toxic sentences: those of toxic documents that hold a token much like a landmark
     shown = np.flatnonzero((y[doc] == 1) & (k.max(axis=1) >= WITNESS))
     if not len(shown):
         shown = np.flatnonzero(y[doc] == 1)
-    use = np.concatenate([shown, np.flatnonzero((y[doc] == 0) & (nth < SENTENCES))])
+    use = np.concatenate([shown, np.flatnonzero(y[doc] == 0)])
     root = root.astype(np.float32)
     w = machine(k[use] @ root, y[doc[use]])
     margin = k @ (root @ w[:-1]) + w[-1]
@@ -315,7 +320,7 @@ def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = N
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     """Learn from at most ``each`` labelled documents of either kind outside the held-out fold."""
-    return train(*labelled_sample(docs, labels, "toxic", each))
+    return train(*labelled_sample(docs, labels, "toxic", each, most=CHARS, parts=".!?\n"))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

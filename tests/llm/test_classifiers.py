@@ -7,6 +7,7 @@ import odd
 import pytest
 
 from ashlar.llm import quality, toxicity
+from ashlar.llm.common import labelled_sample
 from ashlar.llm.queries import op9_quality, op10_toxicity
 
 LARGER = "/root/testdata/sf0.01"
@@ -120,3 +121,47 @@ def test_probabilities_keep_the_shares_of_all_learning_rows(spark, module, label
     for each in (4000, 120):  # all rows; 120 of either label
         scores = module.score(d, module.fit(d, known, each)).collect()
         assert np.mean([r["score"] for r in scores if looks(r["doc_id"]) == group]) == pytest.approx(share, abs=0.07)
+
+
+def learned(spark, monkeypatch, module, label, texts, **how):
+    """The (text, label) rows that a model is trained on."""
+    got = []
+    with monkeypatch.context() as m:
+        m.setattr(module, "train", lambda sample, *_: got.extend(sample))
+        d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+        module.fit(d, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], f"doc_id bigint, {label} int"), **how)
+    return got
+
+
+@pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_samples_have_whole_texts(spark, monkeypatch, module, label):
+    texts = [(f"{'river ' * 10_000}{i}", i % 2) for i in range(20)]
+    got = learned(spark, monkeypatch, module, label, texts)
+    assert {t for t, _ in got} == {t for i, (t, _) in enumerate(texts) if zlib.crc32(str(i).encode()) % 5}
+
+
+def test_samples_take_fewer_texts_not_shorter_ones(spark):
+    texts = [(f"{'river ' * (500 * (1 + i % 3))}{i}", i % 2) for i in range(60)]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id bigint, toxic int")
+    for most in (1, 40_000):
+        got, stands_for = labelled_sample(d, known, "toxic", 100, most=most)
+        for y in (0, 1):
+            mine = [t for t, b in got if b == y]
+            learning = sum(b == y and zlib.crc32(str(i).encode()) % 5 > 0 for i, (_, b) in enumerate(texts))
+            assert mine and set(mine) <= {t for t, _ in texts} and stands_for[y] == learning / len(mine)
+            assert len(mine) == 1 if most == 1 else 1 < len(mine) < learning and sum(map(len, mine)) <= most
+
+
+def test_lines_far_down_are_learned():
+    start = "\n".join(["The river runs along the hills."] * 410)
+    fields = [quality.train([(start, 1), (start + tail, 0)] * 5).weights for tail in ("\n|| ## {} ==" * 50, "\n!!?? 77 88" * 50)]
+    assert not np.allclose(*fields)
+
+
+def test_clean_sentences_far_down_are_learned(monkeypatch):
+    seen = []
+    machine = toxicity.machine
+    monkeypatch.setattr(toxicity, "machine", lambda x, y: seen.append((y == 0).sum()) or machine(x, y))
+    toxicity.train([("The day is fine. " * 150, 0)] * 10 + [(f"You idiot {w}.", 1) for w in ("there", "now", "again", "people", "man")])
+    assert seen == [1500]
