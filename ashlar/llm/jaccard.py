@@ -285,9 +285,11 @@ def long_members(longest: int = LONG):
     return run
 
 
-def tile_links(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+def tile_links(x: list[np.ndarray], y: list[np.ndarray], own: bool, copies: np.ndarray, total: np.ndarray, every: bool = False) -> Iterator[tuple[int, int]]:
     """Links of the sets of x (with each other and with those of y) as a forest of index
-    pairs; y's sets are counted from len(x) on.  Pairs within y are another tile's."""
+    pairs, or every link; y's sets are counted from len(x) on.  Pairs within y are another
+    tile's, and so are those within x, but for the forest, unless this tile is x's own.
+    Adds to total, for each set, the copies of the sets that it links with in this tile."""
     all_ = x + y
     sizes = np.array([len(s) for s in all_])
     token = np.concatenate(all_)
@@ -317,6 +319,12 @@ def tile_links(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[int,
             pivots = [*pivots[-(PIVOTS - 1) :], (s, counts)]
         linked = np.flatnonzero(counts >= need(sizes, np.int64(len(s))))
         linked = linked[linked > i]
+        mine = linked if own else linked[linked >= len(x)]
+        total[i] += copies[mine].sum()
+        total[mine] += copies[i]
+        if every:
+            yield from ((i, j) for j in mine.tolist())
+            continue
         # one link to each class is enough
         classes, at = np.unique(label[linked], return_index=True)
         for c, j in zip(classes.tolist(), linked[at].tolist()):
@@ -325,25 +333,34 @@ def tile_links(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[int,
                 label[label == c] = label[i]
 
 
-def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, side, key, body) sorted by tile and side -> links (a, b)."""
+def tiles(every: bool = False):
+    """Rows (tile, side, key, copies, body) sorted by tile and side (2: the first side of a
+    block's tile with itself) -> links (a, b) and link counts (a, n)."""
 
-    def links(key: list[list[int]], sets_: list[list[np.ndarray]]) -> pa.RecordBatch:
-        names = key[0] + key[1]
-        found = list(tile_links(*sets_)) if sets_[0] else []
-        return pa.RecordBatch.from_arrays([pa.array([names[p[i]] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+    def links(own: bool, key: list[list[int]], copies: list[list[int]], sets_: list[list[np.ndarray]]) -> pa.RecordBatch:
+        names = np.array(key[0] + key[1], np.int64)
+        total = np.zeros(len(names), np.int64)
+        found = list(tile_links(*sets_, own, np.array(copies[0] + copies[1], np.int64), total, every)) if sets_[0] else []
+        some = np.flatnonzero(total)
+        a, b = (names[[p[i] for p in found]].tolist() if found else [] for i in (0, 1))
+        columns = a + names[some].tolist(), b + [None] * len(some), [None] * len(a) + total[some].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n"])
 
-    now, key, sets_ = None, [[], []], [[], []]
-    for b in batches:
-        for tile, side, k, body in zip(*(c.to_pylist() for c in b.columns)):
-            if tile != now:
-                if now is not None:
-                    yield links(key, sets_)
-                now, key, sets_ = tile, [[], []], [[], []]
-            key[side].append(k)
-            sets_[side].append(np.frombuffer(body, np.uint64))
-    if now is not None:
-        yield links(key, sets_)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, key, copies, sets_ = None, False, [[], []], [[], []], [[], []]
+        for b in batches:
+            for tile, side, k, n, body in zip(*(c.to_pylist() for c in b.columns)):
+                if tile != now:
+                    if now is not None:
+                        yield links(own, key, copies, sets_)
+                    now, own, key, copies, sets_ = tile, side == 2, [[], []], [[], []], [[], []]
+                key[side % 2].append(k)
+                copies[side % 2].append(n)
+                sets_[side % 2].append(np.frombuffer(body, np.uint64))
+        if now is not None:
+            yield links(own, key, copies, sets_)
+
+    return run
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +396,10 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def _bodies(docs: DataFrame, keys: DataFrame, owner: DataFrame) -> DataFrame:
     """key, body (the whole set) of the wanted sets, from their owners' texts."""
     ids = keep(owner.join(keys, "key", "left_semi").select("doc_id").distinct(), "set-ids")
-    return _only(docs, ids, "left_semi").select("text").mapInArrow(_whole, "key bigint, body binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    texts = _only(docs, ids, "left_semi").select("text")
+    if not ids.where("doc_id IS NULL").isEmpty():  # sets that only rows without an id have
+        texts = texts.union(docs.where("doc_id IS NULL").select("text"))
+    return texts.mapInArrow(_whole, "key bigint, body binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, owner: DataFrame) -> DataFrame:
@@ -390,8 +410,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, owner: DataFrame) -> DataFrame:
     return got.select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint")
 
 
-def _grouped_links(docs: DataFrame, members: DataFrame, owner: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links among the sets of each group that long lists connect (members: a, b, n).
+def _grouped_links(docs: DataFrame, members: DataFrame, owner: DataFrame, block: int = BLOCK, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and link counts (a, n) of the sets of each group that long lists connect
+    (members: a, b, n), and the sets' groups (key, root).
 
     A group is cut by size (sets link only within a class of sizes or with the next one) and
     by hash into blocks of about ``block`` sets; every two blocks that can hold links make
@@ -408,7 +429,7 @@ def _grouped_links(docs: DataFrame, members: DataFrame, owner: DataFrame, block:
     own, zero, one = F.col("part"), F.lit(0), F.lit(1)
     # within a class block i meets blocks j >= i; block i of a class meets all blocks of the next
     uses = F.concat(
-        F.array(row(zero, own, own, 0)),
+        F.array(row(zero, own, own, 2)),
         F.transform(F.filter(count(F.col("parts")), lambda j: j > own), lambda j: row(zero, own, j, 0)),
         F.transform(F.filter(count(F.col("parts")), lambda i: i < own), lambda i: row(zero, i, own, 1)),
         F.transform(count(F.col("after")), lambda j: row(one, own, j, 0)),
@@ -418,17 +439,25 @@ def _grouped_links(docs: DataFrame, members: DataFrame, owner: DataFrame, block:
     tile = F.struct("root", (F.col("class") - F.when((F.col("u.step") == 1) & (F.col("u.side") == 1), 1).otherwise(0)).alias("class"), "u.step", "u.i", "u.j")
     g = g.select("key", F.xxhash64(tile).alias("tile"), F.col("u.side").alias("side"))
     body = _bodies(docs, group.select("key"), owner)
-    rows = body.join(g, "key").select("tile", "side", "key", "body")
-    return rows.repartition("tile").sortWithinPartitions("tile", "side", "key").mapInArrow(tiles, "a bigint, b bigint")
+    rows = body.join(g, "key").join(owner.select("key", "copies"), "key").select("tile", "side", "key", "copies", "body")
+    return rows.repartition("tile").sortWithinPartitions("tile", "side", "key").mapInArrow(tiles(every), "a bigint, b bigint, n bigint"), group.select("key", "root")
+
+
+def _link_counts(links: DataFrame, owner: DataFrame) -> DataFrame:
+    """key, n: the copies of the sets that each set links with."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    return both.join(owner.select(F.col("key").alias("b"), "copies"), "b").select(F.col("a").alias("key"), F.col("copies").alias("n"))
 
 
-def join(docs: DataFrame, frequent_over: int = FREQUENT, longest: int = LONG, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, frequent_over: int = FREQUENT, longest: int = LONG, block: int = BLOCK, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links among docs (doc_id, text) at Jaccard similarity 0.8 of five-word shingle sets.
 
     Returns ``(documents, links)``: documents has a row for each row of docs: doc_id,
-    n_shingles, key (of its set; null if empty) and component_id, the smallest doc_id
-    reachable by links (for an empty set the row's own); links has the linked pairs of
-    different sets that were needed (a, b: set keys), copies being one set.  Words are cut
+    n_shingles, key (of its set; null if empty), n_links (the other rows that it links with,
+    copies included) and component_id, the smallest doc_id reachable by links (for an empty
+    set the row's own); links has linked pairs of different sets (a, b: set keys), copies
+    being one set: with ``every_link`` each pair once, whose number is quadratic in a group's
+    sets, else all that components need.  Words are cut
     at ASCII space and \\t..\\r after lower-casing A-Z; a text of fewer words is one
     shingle; null and empty texts link with nothing.  Shingles and sets are told apart by
     64-bit hashes.  Repeated rows and ids are fine; a null id counts as no id.
@@ -452,15 +481,27 @@ def join(docs: DataFrame, frequent_over: int = FREQUENT, longest: int = LONG, bl
     hits = by_shingle.mapInArrow(short_pairs(longest), PAIR).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("hits").alias("hits"))
     # a linked pair that meets in no long list shows all the shingles that must show in short ones
     tried = keep(hits.where(F.col("hits") >= 1 + F.floor(alpha / 24)).select("a", "b"), "pairs")
-    links = _verified(docs, tried, owner)
+    links = keep(_verified(docs, tried, owner), "short-links")
     members = keep(by_shingle.mapInArrow(long_members(longest), "a bigint, b bigint, n int").distinct(), "members")
     if not members.isEmpty():
-        links = links.union(_grouped_links(docs, members, owner, block))
+        tiled, group = _grouped_links(docs, members, owner, block, every_link)
+        tiled = keep(tiled, "tiles")
+        # the tiles count all links inside a group
+        of = [group.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+        counts = links.join(of[0], "a", "left").join(of[1], "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b")
+        counts = _link_counts(counts, owner).union(tiled.where("n IS NOT NULL").select("a", "n"))
+        links = links.union(tiled.where("n IS NULL").select("a", "b"))
+        if every_link:
+            links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    else:
+        counts = _link_counts(links, owner)
+    counts = counts.groupBy("key").agg(F.sum("n").alias("n"))
     links = keep(links, "links")
     roots = components(links)
     least = owner.join(roots, owner["key"] == roots["node"], "left").select("key", "doc_id", "copies", F.coalesce("root", "key").alias("root"))
     least = keep(least, "roots")
     linked = least.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
-    names = keep(least.join(linked, "root").select("key", "component_id"), "components")
-    out = every.join(names, "key", "left").select("doc_id", "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    n_links = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    names = keep(least.join(linked, "root").join(counts, "key", "left").select("key", "component_id", n_links), "components")
+    out = every.join(names, "key", "left").select("doc_id", "n_shingles", "key", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out, links

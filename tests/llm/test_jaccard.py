@@ -87,3 +87,30 @@ def test_query_over_its_table(spark, sf):
     t = pq.read_table(f"{sf}/documents.parquet")
     got = sorted(map(tuple, op3_jaccard(spark, sf).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
     assert got == brute(list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist())))
+
+
+def similar(s, t):
+    both = len(s & t)
+    return bool(s and t) and 100 * both >= 80 * (len(s) + len(t) - both)
+
+
+@pytest.mark.parametrize("how", [{}, {"frequent_over": 3, "longest": 4}, {"frequent_over": 3, "longest": 2, "block": 7}])
+def test_every_link_is_counted_and_listed(spark, how):
+    rows = corpus(6, 120)
+    rows += [(i + 1000, t) for i, t in rows[:20]] + [(None, t + " tail") for _, t in rows[20:30]]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    documents, links = jaccard.join(d, every_link=True, **how)
+    few = jaccard.join(d, **how)[0]
+    s = [shingled(t) for _, t in rows]
+    want = sorted(((k, sum(similar(s[i], x) for j, x in enumerate(s) if i != j)) for i, (k, _) in enumerate(rows)), key=repr)
+    for got in (documents, few):
+        assert sorted(((r["doc_id"], r["n_links"]) for r in got.collect()), key=repr) == want
+    sets = list({frozenset(x) for x in s})
+    pairs = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(set(pairs)) == len(pairs) == sum(similar(x, y) for i, x in enumerate(sets) for y in sets[:i])
+
+
+def test_rows_without_an_id_link_others(spark):
+    w = [f"w{i}" for i in range(44)]
+    rows = [(1, " ".join(w)), (None, " ".join(w[4:] + ["a", "b", "c"])), (2, " ".join(w[8:] + ["a", "b", "c", "d", "e", "f"]))]
+    assert found(spark, rows) == brute(rows) and {r[2] for r in found(spark, rows)} == {1}
