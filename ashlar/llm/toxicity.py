@@ -1,76 +1,113 @@
 """Toxicity by a subsequence-kernel support vector machine with Nystroem landmarks.
 
-A token's features are its subsequences of three letters inside a span of at most SPAN,
-each weighing DECAY to the power of its span, so an insult with gaps or inserted
-characters still shares most of them.  The kernel of a sentence and a landmark token is
-the largest normalised kernel of the sentence's tokens with it, less a floor.  Landmarks are the tokens
-that set toxic learning documents apart; Nystroem's map of the kernel values feeds a
-linear machine, trained on sentences: those of clean documents against, for each toxic
-document, the sentence that looks worst so far.  A document's margin is its worst
-sentence's, calibrated to a probability.
+A text is folded to kernel letters (case, accents, width, lookalikes and signs that stand for
+letters; other letters of any script by a hash) and cut into sentences of tokens.  A token's
+features are its subsequences of three letters (its start counts as one) inside a span of at
+most SPAN, each weighing DECAY to the power of its span, so an insult with gaps or inserted
+characters still shares most of them.  The kernel of a sentence and a landmark (a sentence of one token) is the largest
+normalised kernel of the sentence's tokens with it, less a floor.  Landmarks come from learning
+sentences of both labels: tokens that set toxic ones apart, and those of clean ones that look
+most like them.  Nystroem's map of the kernel values feeds a linear machine, trained on
+sentences.  A document is judged by its worst sentence and by how much of it leans to toxic,
+each calibrated on documents that the machine behind it has not seen.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, reachable, shares
+from .common import labelled_sample, reachable, shares, turn
 
 DECAY, SPAN = 0.8, 6
-LANDMARKS, APART = 64, 0.7
+#: Landmarks of toxic and of clean sentences at most, and how alike two may be.
+LANDMARKS, CLEAN, APART = 64, 24, 0.7
 #: Normalised kernel values up to this are chance likeness of words and count as none.
 FLOOR = 0.25
 #: From this value (less the floor) on, a token of a toxic document stands for its landmark in learning.
 WITNESS = 0.6
 #: Learning documents of either label at most, characters of either label's at most (a sentence
 #: counts as some more), tokens a worker remembers.
-SAMPLE, CHARS, CACHE = 1500, 12 << 20, 150_000
-#: Tokens longer than this are cut into pieces that overlap by half.
-LONGEST = 24
+SAMPLE, CHARS, CACHE = 1500, 12 << 20, 100_000
+#: Tokens longer than this are cut into pieces that overlap by half; tokens of a turn.
+LONGEST, TURN = 24, 50_000
+#: What a sentence's leaning must pass to add to a document's average, and tokens by which
+#: short documents' averages are held back.
+LEAN, SHORT = 0.4, 50
 
 #: Digits and signs that stand for letters.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: Letters that look like Latin ones or have no accent to take off.
+LOOKS_LIKE = {
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
+    "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ɡ": "g", "α": "a", "ε": "e", "η": "n", "ι": "i",
+    "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ð": "d",
+    "æ": "a", "œ": "o", "þ": "t", "ß": "s",
+}
+#: Kernel letters: the start of a token, 26 Latin ones, one for signs, and OTHER that letters of all other scripts share by a hash.
+OTHER = 36
+SIZE = 28 + OTHER
+_SPACES = {0x20, *range(0x09, 0x0E), 0x85, 0xA0}
+
+
+def folded(c: str) -> str:
+    """What a character reads as: letters, a space, a stop, ``~`` for signs, or nothing for marks and format characters."""
+    if c == "\n":
+        return ". "
+    if ord(c) in _SPACES or c.isspace():
+        return " "
+    out = ""
+    for x in unicodedata.normalize("NFKD", c).casefold():
+        kind = unicodedata.category(x)
+        x = STANDS_FOR.get(x) or LOOKS_LIKE.get(x) or x
+        if "a" <= x <= "z" or x == " ":
+            out += x
+        elif kind[0] == "M" or kind == "Cf":
+            continue
+        elif x in ".!?\u3002\u0964\u061f":
+            out += "."
+        elif kind[0] == "L":
+            out += chr(0xC0 + (ord(x) * 0x9E3779B1 >> 7) % OTHER)
+        else:
+            out += "~"
+    return out
+
+
+class Folding(dict):
+    """folded() by code point, as str.translate() asks for it; a worker meets few distinct ones."""
+
+    def __missing__(self, point: int) -> str:
+        got = self[point] = folded(chr(point))
+        return got
 
 
-def _folded() -> bytes:
-    """A byte table for Latin-1 text: letters without accents and in lower case, white space
-    as a space, sentence ends as a stop, anything else as ``~``."""
-    out = bytearray(b"~" * 256)
-    for i in range(256):
-        c = unicodedata.normalize("NFKD", chr(i).lower())[:1]
-        if "a" <= c <= "z":
-            out[i] = ord(c)
-    for i in (0x20, *range(0x09, 0x0E), 0x85, 0xA0):
-        out[i] = 0x20
-    out[ord("\n")] = ord("\n")
-    for c in ".!?":
-        out[ord(c)] = ord(".")
-    for a, b in STANDS_FOR.items():
-        out[ord(a)] = ord(b)
-    return bytes(out)
-
-
-_table = _folded()
-_spaced = re.compile(rb"(?<![^ ])(?:[a-z] ){2,}[a-z](?![^ .])")
+_fold = Folding()
+_table = bytes(ord((folded(chr(i)) or "~")[0]) if chr(i) != "\n" else 10 for i in range(256))
+_letter = "a-z\xc0-\xe3".encode("latin-1")
+_spaced = re.compile(rb"(?<![^ ])(?:[" + _letter + rb"] ){2,}[" + _letter + rb"](?![^ .])")
 _code = np.zeros(256, np.int64)
 _code[97:123] = np.arange(1, 27)
 _code[[ord("~"), ord(".")]] = 27
+_code[0xC0 : 0xC0 + OTHER] = np.arange(28, SIZE)
 _GAPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
 def tokens(text: str) -> list[bytes]:
     """Folded tokens; one that ends a sentence ends with a stop.  Letters set apart by
     spaces are one token."""
-    data = text.encode("latin-1", "replace").translate(_table).replace(b"\n", b". ")
+    try:
+        data = text.encode("latin-1").translate(_table).replace(b"\n", b". ")
+    except UnicodeEncodeError:
+        data = text.translate(_fold).encode("latin-1")
     return _spaced.sub(lambda m: m[0].replace(b" ", b""), data).split()
 
 
@@ -83,7 +120,7 @@ def pieces(token: bytes) -> list[bytes]:
 
 
 def least_norms(n: np.ndarray) -> np.ndarray:
-    """Norm of a token of n letters if its subsequences are all different; repeats only add to it."""
+    """Norm of a token of n letters (its start is one) if its subsequences are all different; repeats only add to it."""
     total = np.zeros(len(n))
     for _, k in _GAPS:
         total += np.maximum(n - k, 0) * DECAY ** (2 * (k + 1))
@@ -95,55 +132,59 @@ def norms(words: list[bytes]) -> np.ndarray:
     parts = list(subsequences(words))
     out = np.full(len(words), 1e-12)
     if parts:
-        key = np.concatenate([word * 28**3 + code for word, code, _ in parts])
+        key = np.concatenate([word * SIZE**3 + code for word, code, _ in parts])
         weight = np.concatenate([np.full(len(word), w) for word, _, w in parts])
         order = np.argsort(key, kind="stable")
         key, weight = key[order], weight[order]
         if len(key):
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            out += np.bincount(key[cut] // 28**3, np.add.reduceat(weight, cut) ** 2, minlength=len(words))
+            out += np.bincount(key[cut] // SIZE**3, np.add.reduceat(weight, cut) ** 2, minlength=len(words))
     return np.sqrt(out)
 
 
 def subsequences(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(word index, subsequence code, weight) for every gap pattern, words' order kept."""
-    data = np.frombuffer(b"".join(words), np.uint8)
-    c = _code[data]
-    word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    """(word index, subsequence code, weight) for every gap pattern, words' order kept; code 0 marks a word's start."""
+    c = _code[np.frombuffer(b"".join(b"^" + w for w in words), np.uint8)]
+    word = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
     for j, k in _GAPS:
         if len(c) <= k:
             continue
         same = word[:-k] == word[k:]
-        code = (c[:-k] * 28 + c[j : len(c) - k + j]) * 28 + c[k:]
+        code = (c[:-k] * SIZE + c[j : len(c) - k + j]) * SIZE + c[k:]
         yield word[:-k][same], code[same], DECAY ** (k + 1)
 
 
 class Kernel:
-    """Normalised kernel values of tokens with landmark tokens."""
+    """Normalised kernel values of tokens and sentences with landmark tokens."""
 
     def __init__(self, landmarks: list[bytes]):
         self.m = len(landmarks)
-        self.table = np.zeros((28**3, self.m), np.float32)
+        found: dict[int, np.ndarray] = {}
         for i, w in enumerate(landmarks):
             for _, code, weight in subsequences([w]):
-                np.add.at(self.table[:, i], code, weight)
-        self.table /= np.sqrt((self.table.astype(np.float64) ** 2).sum(axis=0)) + 1e-12
-        self.any = self.table.any(axis=1)
-        self.rows = np.zeros((CACHE, self.m), np.float32)
-        self.ends, self.live = np.zeros(CACHE, bool), np.zeros(CACHE, bool)
-        self.known: dict[bytes, int] = {}
+                for c in code.tolist():
+                    found.setdefault(c, np.zeros(self.m))[i] += weight
+        # only the landmarks' own subsequences have a row; the others share the first, of zeros
+        self.row = np.zeros(SIZE**3, np.int32)
+        self.row[list(found)] = np.arange(1, len(found) + 1)
+        table = np.array([np.zeros(self.m), *found.values()])
+        self.table = (table / (np.sqrt((table**2).sum(axis=0)) + 1e-12)).astype(np.float32)
+        self.rows = np.zeros((CACHE + 1, self.m), np.float32)  # of tokens like any landmark, from 1 on
+        self.known: dict[bytes, int] = {}  # token -> twice its row, or 0, and one if it ends a sentence
+        self.live = 0
 
     def values(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), self.m), np.float32)
         if not words:
             return out
         for word, code, weight in subsequences(words):
-            use = self.any[code]
-            word, code = word[use], code[use]
+            row = self.row[code]
+            use = row > 0
+            word, row = word[use], row[use]
             if len(word):
                 cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-                out[word[cut]] += np.add.reduceat(self.table[code], cut) * np.float32(weight)
-        norm = least_norms(np.array([len(w) for w in words]))
+                out[word[cut]] += np.add.reduceat(self.table[row], cut) * np.float32(weight)
+        norm = least_norms(np.array([len(w) + 1 for w in words]))
         near = np.flatnonzero(out.max(axis=1, initial=0) > 0.1 * norm)  # exact where it can matter
         norm[near] = norms([words[i] for i in near])
         return (np.maximum(np.minimum(out / norm[:, None], 1) - FLOOR, 0) / (1 - FLOOR)).astype(np.float32)
@@ -152,89 +193,111 @@ class Kernel:
         """Values of tokens, the larger of the pieces' for a cut one."""
         out = self.values([t.strip(b".~")[:LONGEST] for t in toks])
         more = [(i, p) for i, t in enumerate(toks) if b"~" in t or b"." in t[:-1] or len(t) > LONGEST for p in pieces(t)[1:]]
-        if more:
-            np.maximum.at(out, [i for i, _ in more], self.values([p for _, p in more]))
+        for at in range(0, len(more), 20_000):
+            part = more[at : at + 20_000]
+            np.maximum.at(out, [i for i, _ in part], self.values([p for _, p in part]))
         return out
 
-    def learn(self, new: list[bytes]) -> None:
-        n = len(self.known)
-        self.rows[n : n + len(new)] = self.of(new)
-        self.live[n : n + len(new)] = self.rows[n : n + len(new)].any(axis=1)
-        self.ends[n : n + len(new)] = [t.endswith(b".") for t in new]
-        self.known.update(zip(new, range(n, n + len(new))))
-
-    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Kernel values of the texts' sentences and each text's first sentence; a text has one at least."""
-        rows, firsts, total = [], [], 0
-        lists = [tokens(t) or [b"."] for t in texts]
-        at = 0
-        while at < len(lists):
-            to, n = at + 1, len(lists[at])
-            while to < len(lists) and n + len(lists[to]) <= 50_000:
-                n += len(lists[to])
-                to += 1
-            flat = list(chain.from_iterable(lists[at:to]))
-            sizes = np.array([len(x) for x in lists[at:to]])
-            begins = np.cumsum(sizes) - sizes
-            best = None
-            for x in range(0, len(flat), 100_000):  # more than one turn for a very long text only
-                part = flat[x : x + 100_000]
-                new = list(set(part) - self.known.keys())
-                if len(self.known) + len(new) > CACHE:
-                    self.known.clear()
-                    new = list(set(part))
-                for k in range(0, len(new), 20_000):
-                    self.learn(new[k : k + 20_000])
-                ids = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
-                first = np.zeros(len(part), bool)
-                first[1:] = self.ends[ids[:-1]]
-                first[0] = x == 0 or flat[x - 1].endswith(b".")
-                mine = begins[(begins >= x) & (begins < x + len(part))] - x
-                first[mine] = True
-                cut = np.flatnonzero(first)
-                begun = first.copy()
-                begun[0] = True
-                nth = np.cumsum(begun) - 1
-                got = np.zeros((nth[-1] + 1, self.m), np.float32)
-                live = self.live[ids]  # most tokens are like no landmark
-                nth, ids = nth[live], ids[live]
-                if len(ids):
-                    at_ = np.flatnonzero(np.concatenate(([True], nth[1:] != nth[:-1])))
-                    got[nth[at_]] = np.maximum.reduceat(self.rows[ids], at_)
-                if best is not None and not first[0]:  # a sentence that goes on
-                    best[-1][-1] = np.maximum(best[-1][-1], got[0])
-                    got = got[1:]
-                    if not len(got):
-                        continue
-                count = np.searchsorted(cut, mine)
-                firsts.extend((total + count).tolist())
-                total += len(got)
-                best = (best or []) + [got]
-            rows += best
-            at = to
-        return (np.concatenate(rows) if rows else np.zeros((0, self.m), np.float32)), np.array(firsts, np.int64)
+    def codes(self, toks: list[bytes]) -> np.ndarray:
+        """What ``known`` has for the tokens; new ones are worked out first."""
+        new = list(set(toks) - self.known.keys())
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            self.live, new = 0, list(set(toks))
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            got = self.of(part)
+            on = np.flatnonzero(got.any(axis=1))
+            place = np.zeros(len(part), np.int64)
+            place[on] = np.arange(self.live + 1, self.live + 1 + len(on))
+            self.rows[place[on]] = got[on]
+            self.live += len(on)
+            self.known.update(zip(part, (2 * place + [t.endswith(b".") for t in part]).tolist()))
+        return np.fromiter(map(self.known.__getitem__, toks), np.int64, len(toks))
+
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kernel values of the sentences that any landmark is like, the text of each, and
+        every text's number of tokens."""
+        rows, docs, count = [np.zeros((0, self.m), np.float32)], [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+        now, last, open_ = 0, -1, False  # the last sentence so far, the last with a row, whether it goes on
+
+        def add(toks: list[bytes], doc: np.ndarray) -> None:
+            nonlocal now, last, open_
+            code = self.codes(toks)
+            ends = code & 1 == 1
+            begins = np.concatenate(([not open_], ends[:-1] | (doc[1:] != doc[:-1])))
+            nth = now + np.cumsum(begins)
+            now, open_ = int(nth[-1]), not ends[-1]
+            row = code >> 1
+            on = np.flatnonzero(row)  # most tokens are like no landmark
+            if not len(on):
+                return
+            cut = np.flatnonzero(np.concatenate(([True], np.diff(nth[on]) > 0)))
+            got = np.maximum.reduceat(self.rows[row[on]], cut)
+            of = doc[on][cut]
+            if nth[on[0]] == last:  # a sentence that went on
+                np.maximum(rows[-1][-1], got[0], out=rows[-1][-1])
+                got, of = got[1:], of[1:]
+            last = int(nth[on[-1]])
+            if len(got):
+                rows.append(got)
+                docs.append(of)
+
+        toks: list[bytes] = []
+        of: list[int] = []
+        for i, t in enumerate(texts):
+            mine = tokens(t)
+            count[i] = len(mine)
+            if toks and len(toks) + len(mine) > TURN:
+                add(toks, np.array(of))
+                toks, of, open_ = [], [], False
+            for at in range(0, len(mine), TURN) if len(mine) > TURN else ():  # a very long text
+                add(mine[at : at + TURN], np.full(min(TURN, len(mine) - at), i))
+            if len(mine) > TURN:
+                open_ = False
+                continue
+            toks += mine
+            of += [i] * len(mine)
+        if toks:
+            add(toks, np.array(of))
+        return np.concatenate(rows), np.concatenate(docs), count
 
 
 @dataclass
-class Model:
+class Machine:
     landmarks: list[bytes]
     weights: np.ndarray  # of the kernel values: Nystroem's map and the machine in one
-    bias: float
-    margins: np.ndarray  # ascending, with the probability at each; between them it is interpolated
-    chances: np.ndarray
+
+    def judged(self, kernel: Kernel, texts: list[str]) -> np.ndarray:
+        """How far each text's worst sentence leans to toxic, and how far its tokens do on average."""
+        k, doc, count = kernel.sentences(texts)
+        lean = np.maximum(k @ self.weights, 0)
+        worst = np.zeros(len(texts))
+        np.maximum.at(worst, doc, lean)
+        return np.column_stack([worst, np.bincount(doc, np.maximum(lean - LEAN, 0), minlength=len(texts)) / (count + SHORT)])
+
+
+@dataclass
+class Model:
+    machine: Machine
+    levels: list[np.ndarray]  # for worst and average: ascending, with the probability at each
+    chances: list[np.ndarray]  # between them it is interpolated; the larger of both counts
+
+    @property
+    def landmarks(self) -> list[bytes]:
+        return self.machine.landmarks
 
     def scores(self, kernel: Kernel, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         if not self.landmarks:
-            return np.full(len(texts), self.chances[0])
-        k, first = kernel.sentences(texts)
-        worst = np.maximum.reduceat(k @ self.weights + self.bias, first)
-        return np.interp(worst, self.margins, self.chances)
+            return np.full(len(texts), self.chances[0][0])
+        x = self.machine.judged(kernel, texts)
+        return np.maximum(*(np.interp(x[:, i], self.levels[i], self.chances[i]) for i in (0, 1)))
 
 
-def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
-    """Weights (bias last) of a linear support vector machine with squared hinge loss."""
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
+    """Weights (bias last) of a linear support vector machine with squared hinge loss over weighted rows."""
     x = np.column_stack([x, np.ones(len(x), np.float32)])
     s = np.where(y > 0, 1.0, -1.0)
     w = np.zeros(x.shape[1])
@@ -245,8 +308,9 @@ def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
         for at in range(0, len(on), 1 << 14):  # double precision for a part of the rows at a time
             part = on[at : at + (1 << 14)]
             xo = x[part].astype(float)
-            h += c * (xo.T @ xo)
-            g += c * (xo.T @ s[part])
+            xw = xo * weight[part, None]
+            h += c * (xw.T @ xo)
+            g += c * (xw.T @ s[part])
         new = np.linalg.solve(h, g)
         if np.abs(new - w).max() < 1e-6:
             return new
@@ -254,14 +318,13 @@ def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
     return w
 
 
-def calibrated(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Margins and the probabilities of label 1 there: isotonic regression of weighted rows, each
-    pooled block smoothed by one row of even odds."""
-    weight = np.ones(len(y)) if weight is None else weight
-    order = np.argsort(margin, kind="stable")
+def calibrated(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margins and the probabilities of label 1 there: isotonic regression of weighted rows, equal
+    margins being one, each pooled block smoothed by one row of even odds."""
+    level, of = np.unique(margin, return_inverse=True)
     blocks: list[list[float]] = []  # rows, ones, lowest and highest margin
-    for m, v, w in zip(margin[order].tolist(), y[order].tolist(), weight[order].tolist()):
-        blocks.append([w, v * w, m, m])
+    for m, n, ones in zip(level.tolist(), np.bincount(of, weight).tolist(), np.bincount(of, weight * y).tolist()):
+        blocks.append([n, ones, m, m])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             n, ones, _, high = blocks.pop()
             blocks[-1][0] += n
@@ -271,60 +334,117 @@ def calibrated(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = No
     return np.array([x for b in blocks for x in b[2:]]), np.repeat(chance, 2)
 
 
-def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = None) -> Model:
-    """A model from (text, label) rows; without both labels every score is the same.  A row of
-    a label stands for so many learning rows."""
-    y = np.array([b for _, b in sample], float)
-    if not len(y) or y.min() == y.max():
-        return Model([], np.zeros(0), 0.0, np.zeros(1), np.array([0.0025 if not len(y) or y.max() == 0 else 0.9975]))
-    # distinct sentences with a token: those of copied documents count once
-    bad, good, seen = Counter(), Counter(), set()
+def chosen(sample: list[tuple[str, int]]) -> list[bytes]:
+    """Landmarks: tokens that come in toxic documents' sentences only or nearly so, by the
+    evidence for that, and of clean documents' tokens those that are most like them."""
+    bad, good, many, seen = Counter(), Counter(), Counter(), set()
+    size = Counter(y for _, y in sample)
     for text, label in sample:
-        toks = tokens(text)
+        # distinct sentences: those of copied documents count once, and so does a token in a document
+        toks, mine = tokens(text), set()
         ends = [0, *(i for i, t in enumerate(toks, 1) if t.endswith(b".") or i == len(toks))]
         for a, b in zip(ends, ends[1:]):
             s = (label, hash(tuple(toks[a:b])))
             if s not in seen:
                 seen.add(s)
-                (bad if label else good).update({p for t in toks[a:b] for p in pieces(t) if len(p) >= 4})
-    n1, n0 = y.sum(), len(y) - y.sum()
-    weight = shares(y, stands_for)
-    odds = {t: n * np.log((n + 0.5) / (n1 + 1) * (n0 + 1) / (good[t] + 0.5)) for t, n in bad.items() if n >= max(3, n1 / 70) and 20 * good[t] <= n}
-    landmarks: list[bytes] = []
-    for t in sorted(odds, key=lambda t: (-odds[t], t))[:4000]:
-        if not landmarks or Kernel(landmarks).values([t]).max() < APART:
-            landmarks.append(t)
-        if len(landmarks) == LANDMARKS:
+                mine |= {p for t in toks[a:b] for p in pieces(t) if len(p) >= (4 if t.isascii() else 3)}
+        (bad if label else good).update(mine)
+    share = size[1] / len(sample)
+
+    def evidence(t: bytes) -> float:
+        a, b = bad[t], good[t]
+        return a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0.0)
+
+    # of all tokens of three documents, about one would show that much by chance
+    least = math.log(max(1, sum(bad[t] + good[t] >= 3 for t in bad.keys() | good.keys())))
+    ranked = {t: e for t, n in bad.items() if n >= 3 and 20 * good[t] * share <= n * (1 - share) and (e := evidence(t)) >= least}
+    out: list[bytes] = []
+    for t in sorted(ranked, key=lambda t: (-ranked[t], t)):
+        if not out or Kernel(out).values([t]).max() < APART:
+            out.append(t)
+        if len(out) == LANDMARKS:
             break
-    if not landmarks:
-        return Model([], np.zeros(0), 0.0, np.zeros(1), np.array([weight @ y / weight.sum()]))
-    kernel = Kernel(landmarks)
-    parts = [kernel.sentences([t for t, _ in sample[i : i + 100]]) for i in range(0, len(sample), 100)]
-    before = np.cumsum([0, *(len(x) for x, _ in parts[:-1])])
-    k, first = np.concatenate([x for x, _ in parts]), np.concatenate([f + n for (_, f), n in zip(parts, before)])
-    del parts
-    doc = np.repeat(np.arange(len(sample)), np.diff(np.append(first, len(k))))
-    value, vector = np.linalg.eigh(kernel.values(landmarks).astype(float) / 2 + kernel.values(landmarks).T.astype(float) / 2)
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+    if not out:
+        return out
+    kernel, names = Kernel(out), [t for t, n in good.items() if n >= 3 and not bad[t] > n * share / (1 - share)]
+    for at in range(0, len(names), 10_000):
+        part = names[at : at + 10_000]
+        many.update({t: v * good[t] for t, v in zip(part, kernel.values(part).max(axis=1).tolist()) if 0 < v < APART})
+    toxic = len(out)
+    for t in sorted(many, key=lambda t: (-many[t], t)):
+        if len(out) == toxic + CLEAN:
+            break
+        if Kernel(out).values([t]).max() < APART:
+            out.append(t)
+    return out
+
+
+def learned(sample: list[tuple[str, int]]) -> tuple[Machine, Kernel]:
+    """Landmarks and the machine on sentences."""
+    y = np.array([b for _, b in sample], float)
+    marks = chosen(sample) if 0 < y.sum() < len(y) else []
+    kernel = Kernel(marks)
+    if not marks:
+        return Machine([], np.zeros(0)), kernel
+    parts, clean = [], 0
+    for at in range(0, len(sample), 100):
+        texts = [t for t, _ in sample[at : at + 100]]
+        k, doc, _ = kernel.sentences(texts)
+        parts.append((k, y[at + doc]))
+        clean += sum(sum(t.endswith(b".") for t in tokens(x)) or 1 for x, b in sample[at : at + 100] if not b)
+    k, label = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     # toxic sentences: those of toxic documents that hold a token much like a landmark
-    shown = np.flatnonzero((y[doc] == 1) & (k.max(axis=1) >= WITNESS))
+    shown = np.flatnonzero((label == 1) & (k.max(axis=1, initial=0) >= WITNESS))
     if not len(shown):
-        shown = np.flatnonzero(y[doc] == 1)
-    use = np.concatenate([shown, np.flatnonzero(y[doc] == 0)])
-    root = root.astype(np.float32)
-    w = machine(k[use] @ root, y[doc[use]])
-    margin = k @ (root @ w[:-1]) + w[-1]
-    top = np.maximum.reduceat(margin, first)
-    return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]), *calibrated(top, y, weight))
+        shown = np.flatnonzero(label == 1)
+    use = np.concatenate([shown, np.flatnonzero(label == 0)])
+    among = kernel.values(marks).astype(float)
+    value, vector = np.linalg.eigh((among + among.T) / 2)
+    root = (vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T).astype(np.float32)
+    # sentences like no landmark are all the same: one row stands for those of clean documents
+    x = np.concatenate([k[use] @ root, np.zeros((1, len(marks)), np.float32)])
+    w = machine(x, np.append(label[use], 0), np.append(np.ones(len(use)), max(1, clean - (label == 0).sum())))
+    return Machine(marks, (root @ w[:-1]).astype(np.float32)), kernel
+
+
+def judged(of: tuple[Machine, Kernel], sample: list[tuple[str, int]]) -> np.ndarray:
+    return np.concatenate([of[0].judged(of[1], [t for t, _ in sample[i : i + 100]]) for i in range(0, len(sample), 100)])
+
+
+def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = None) -> Model:
+    """A model from (text, label) rows; without both labels every score is the same.  A row of
+    a label stands for so many learning rows.  Each half of the rows is judged by a machine
+    that learned from the other half, and these judgements calibrate the machine of all rows."""
+    y = np.array([b for _, b in sample], float)
+    if not len(y) or y.min() == y.max():
+        return Model(Machine([], np.zeros(0)), [], [np.array([0.0025 if not len(y) or y.max() == 0 else 0.9975])])
+    weight = shares(y, stands_for)
+    whole = learned(sample)
+    if not whole[0].landmarks:
+        return Model(whole[0], [], [np.array([weight @ y / weight.sum()])])
+    # equal texts go to the same half
+    half = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1 for t, _ in sample])
+    x = np.zeros((len(y), 2))
+    for h in (0, 1):
+        mine, others = np.flatnonzero(half == h), [sample[i] for i in np.flatnonzero(half != h)]
+        if len(mine):
+            other = learned(others) if others else whole
+            x[mine] = judged(other if other[0].landmarks else whole, [sample[i] for i in mine])
+    return Model(whole[0], *zip(*(calibrated(x[:, i], y, weight) for i in (0, 1))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
-    """Learn from at most ``each`` labelled documents of either kind outside the held-out fold."""
+    """Learn from at most ``each`` labelled documents of either kind outside the held-out fold.
+
+    An id with both labels is toxic; ids without a label, null ids and labels other than 0 and 1
+    teach nothing; repeated rows count once; null texts are empty.  Without rows of both labels
+    the model gives every text the same score."""
     return train(*labelled_sample(docs, labels, "toxic", each, most=CHARS, parts=".!?\n"))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ``score`` (0 to 1) of every row's whole text; null and empty texts have one empty sentence."""
+    """key, ``score`` (0 to 1) of every row's whole text; null and empty texts have no tokens.
+    Rows map one to one: repeated rows stay, extra columns go, an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = Kernel(model.landmarks)
@@ -334,11 +454,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(kernel, [t or "" for t in part.column(1).to_pylist()]), pa.float64())], [key, "score"])
 
     reachable(docs.sparkSession)
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, score double")
+    return docs.select(key, text).mapInArrow(turn(run), f"`{key}` {dict(docs.dtypes)[key]}, score double")
 
 
 def clean(docs: DataFrame, model: Model, below: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text scores below ``below``."""
+    """The rows of docs, all columns as they are, whose text scores below ``below``; repeated
+    rows stay or go together, a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = Kernel(model.landmarks)
@@ -349,4 +470,4 @@ def clean(docs: DataFrame, model: Model, below: float = 0.5, text: str = "text")
                 yield part.filter(pa.array(model.scores(kernel, [t or "" for t in part.column(at).to_pylist()]) < below))
 
     reachable(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(turn(run), docs.schema)

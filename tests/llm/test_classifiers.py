@@ -69,7 +69,7 @@ def subsequence_kernel(s, t):
     """Sum over shared subsequences of three letters inside spans, by brute force."""
 
     def phi(w):
-        out = {}
+        w, out = "^" + w, {}
         for i, j, k in itertools.combinations(range(len(w)), 3):
             if k - i < toxicity.SPAN:
                 out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + toxicity.DECAY ** (k - i + 1)
@@ -162,6 +162,40 @@ def test_lines_far_down_are_learned():
 def test_clean_sentences_far_down_are_learned(monkeypatch):
     seen = []
     machine = toxicity.machine
-    monkeypatch.setattr(toxicity, "machine", lambda x, y: seen.append((y == 0).sum()) or machine(x, y))
-    toxicity.train([("The day is fine. " * 150, 0)] * 10 + [(f"You idiot {w}.", 1) for w in ("there", "now", "again", "people", "man")])
-    assert seen == [1500]
+    monkeypatch.setattr(toxicity, "machine", lambda x, y, w: seen.append(w[y == 0].sum()) or machine(x, y, w))
+    toxicity.train([("The day is fine. " * 150, 0)] * 20 + [(f"You idiot {w}.", 1) for w in "there now again people man over here still today friend".split()])
+    assert seen[0] == 20 * 150
+
+
+def test_held_out_toxic_and_clean_documents(spark):
+    """Of the labelled toxic documents outside learning, some hold no insult at all."""
+    y = known("/root/testdata/sf0.1", "toxic")
+    rows = [r for r in op10_toxicity(spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in y]
+    hit = sum(r["predicted"] and y[r["doc_id"]] for r in rows)
+    assert hit >= 0.8 * sum(y[r["doc_id"]] for r in rows)
+    assert hit >= 0.8 * sum(r["predicted"] for r in rows)
+
+
+SCRIPTS = {
+    "cyrillic": ("дурак идиот болван".split(), "Сегодня тихая река течёт {} за холмами. Был хороший день."),
+    "cjk": ("混蛋东西 白痴家伙 笨蛋蠢货".split(), "今天 河水 {} 静静地 流淌。天气 很好。"),
+    "arabic": ("أحمق غبي تافه".split(), "النهر هادئ {} اليوم. كان يوما جميلا."),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_other_scripts_are_read(script):
+    bad, text = SCRIPTS[script]
+    sample = [(text.format(i), 0) for i in range(60)] + [(text.format(f"{w} {i}"), 1) for w in bad for i in range(15)]
+    m = toxicity.train(sample)
+    k = toxicity.Kernel(m.landmarks)
+    for w in bad:
+        assert m.scores(k, [text.format(w + " x")])[0] >= 0.5
+    assert m.scores(k, [text.format("x")])[0] < 0.5
+
+
+def test_lookalikes_read_as_letters():
+    want = toxicity.tokens("you idiot here")
+    for t in ("you \u0456d\u0456ot here", "you \uff49\uff44\uff49\uff4f\uff54 here", "you i\u0301di\u200bo\u0300t here", "YOU 1D10T HERE", "you i d i o t here"):
+        assert toxicity.tokens(t) == want, t
+    assert toxicity.tokens("na\xefve caf\xe9") == toxicity.tokens("na\xefve caf\xe9\u200b") == [b"naive", b"cafe"]
