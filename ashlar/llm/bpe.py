@@ -16,19 +16,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import reachable
+from .common import cached, reachable, turn
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker remembers, and the longest of them in characters.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
-#: Looked-up arcs that a worker remembers.
-TABLE_ARCS = 400_000
+#: Words that a worker remembers in each of two generations, and the longest of them in characters: some 40 MB.
+CACHE_WORDS, CACHE_CHARS = 80_000, 48
+#: Looked-up arcs that a worker remembers: some 25 MB.
+TABLE_ARCS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,13 +52,16 @@ class Automaton:
         self.special = {t["content"]: t["id"] for t in d.get("added_tokens", [])}
         self.labels = {i: bytes(letters[c] for c in s) for s, i in vocab.items()}
         self.labels |= {i: s.encode() for s, i in self.special.items()}
-        self.made: dict[int, tuple[int, int, int]] = {}  # token -> its gadget: rank, left, right
-        self.taken: dict[tuple[int, int], int] = {}  # (state, arc) -> rank of the gadget that takes it
+        # each token's gadget: its rank, left and right; rank -1: the token is not merged
+        self.rank, self.left, self.right = (array("i", [-1]) * (max(self.labels) + 1) for _ in range(3))
+        self.taken: dict[int, int] = {}  # state << 32 | arc -> rank of the gadget that takes it
         for rank, pair in enumerate(d["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             left, right = vocab[a], vocab[b]
-            self.taken.setdefault((left, right), rank)
-            self.made.setdefault(vocab[a + b], (rank, left, right))
+            self.taken.setdefault(left << 32 | right, rank)
+            new = vocab[a + b]
+            if self.rank[new] < 0:
+                self.rank[new], self.left[new], self.right[new] = rank, left, right
         self.trie: dict[int, int] = {}  # node << 8 | byte -> node
         self.ends: list[int] = [-1]
         for s, i in vocab.items():
@@ -72,21 +76,22 @@ class Automaton:
         self.longest = max(map(len, self.labels.values()))
         self.table: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.split = regex.compile(SPLIT).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def arc(self, t: int, u: int, before: int) -> bool:
         """Whether state t has arc u after the gadgets of lower rank than ``before``."""
-        if self.taken.get((t, u), before) < before:
+        if self.taken.get(t << 32 | u, before) < before:
             return False
-        gt, gu = self.made.get(t), self.made.get(u)
-        if gt is None and gu is None:
+        gt, gu = self.rank[t], self.rank[u]
+        if gt < 0 and gu < 0:
             return True
-        if gu is None or (gt is not None and gt[0] > gu[0]):
-            return self.arc(gt[2], u, gt[0])
-        if gt is None or gu[0] > gt[0]:
-            return self.arc(t, gu[1], gu[0] + 1)  # a doubling merge (a, a) has already taken a from a's state
-        return self.arc(gt[2], gt[1], gt[0])
+        if gt > gu:
+            return self.arc(self.right[t], u, gt)
+        if gu > gt:
+            return self.arc(t, self.left[u], gu + 1)  # a doubling merge (a, a) has already taken a from a's state
+        return self.arc(self.right[t], self.left[t], gt)
 
     def arcs_at(self, word: bytes, i: int) -> list[int]:
         """The labels that spell word from i on, shortest first."""
@@ -114,7 +119,7 @@ class Automaton:
                 if j in dead:
                     continue
                 if out:
-                    key = out[-1] << 16 | u
+                    key = out[-1] << 32 | u
                     ok = table.get(key)
                     if ok is None:
                         ok = table[key] = self.arc(out[-1], u, 1 << 60)
@@ -136,15 +141,16 @@ class Automaton:
 
     def packed(self, word: str) -> bytes:
         """The ids of a pre-split word, little-endian unsigned 32-bit."""
-        got = self.known.get(word)
+        got = self.older.get(word)
         if got is None:
             got = b"".join(i.to_bytes(4, "little") for i in self.path(word.encode("utf-8", "surrogatepass")))
-            if len(word) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                if len(self.table) >= TABLE_ARCS:
-                    self.table.clear()
-                self.known[word] = got
+            if len(self.table) >= TABLE_ARCS:
+                self.table.clear()
+        if len(word) <= CACHE_CHARS:
+            if len(self.known) >= CACHE_WORDS:  # words not asked for since the last turn go
+                self.older = self.known.copy()
+                self.known.clear()
+            self.known[word] = got
         return got
 
     def encode(self, text: str) -> bytes:
@@ -162,6 +168,7 @@ class Automaton:
 
 
 _built: dict[str, Automaton] = {}
+cached(__name__, _built.clear)
 
 
 def automaton(spec: str) -> Automaton:
@@ -189,7 +196,7 @@ def _column(df: DataFrame, key: str, value: Column, name: str, kind: str, step)
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(step(part.column(1).to_pylist()), to)], [key, name])
 
-    return df.select(F.col(key), value.alias(name)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, `{name}` {kind}")
+    return df.select(F.col(key), value.alias(name)).mapInArrow(turn(run), f"`{key}` {dict(df.dtypes)[key]}, `{name}` {kind}")
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,4 +239,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 ids = [a.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(list(map(a.decode, ids)), pa.string())], [key, "ids", "decoded"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids binary, decoded string")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(turn(run), f"`{key}` {dict(docs.dtypes)[key]}, ids binary, decoded string")

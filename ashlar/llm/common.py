@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
 from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word of the contracts: a run of characters other than space and \t..\r.
@@ -46,17 +50,53 @@ def reachable(spark: SparkSession) -> SparkSession:
     if not spark.sparkContext.getConf().contains(BATCH):
         spark.conf.set(BATCH, str(8 << 20))
     env = spark.sparkContext.environment
-    # workers live through many stages: let them give large freed blocks back to the system
-    for name, value in (("MALLOC_ARENA_MAX", "2"), ("MALLOC_MMAP_THRESHOLD_", str(8 << 20)), ("MALLOC_TRIM_THRESHOLD_", str(16 << 20))):
+    # workers live through many stages: let them give freed blocks back to the system
+    for name, value in (("MALLOC_ARENA_MAX", "2"), ("MALLOC_MMAP_THRESHOLD_", str(1 << 20)), ("MALLOC_TRIM_THRESHOLD_", str(4 << 20)), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
         env.setdefault(name, value)
     if _root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), _root) if x)
     return spark
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cached(module: str, clear: Callable[[], None]) -> None:
+    """Name what frees the tables that a module keeps in a worker process between tasks."""
+    _caches[module] = clear
+
+
+def turn(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run as a worker's turn: tables that other modules have kept in the process go first,
+    and what the turn has freed goes back to the system at its end."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for module, clear in _caches.items():
+            if module != run.__module__:
+                clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return work
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode, where all
+    is one machine (tests), a temporary one if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         if not _own_scratch:
             _own_scratch.append("file://" + tempfile.mkdtemp(prefix="spark-ashlar-"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep, reachable
+from .common import keep, reachable, turn
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     shuffle, and joins bring one row a node to the links.
     """
     reachable(links.sparkSession)
-    e = keep(links.where("a <> b").select("a", "b").mapInArrow(_forest, "a bigint, b bigint").distinct(), "links")  # a > b
+    e = keep(links.where("a <> b").select("a", "b").mapInArrow(turn(_forest), "a bigint, b bigint").distinct(), "links")  # a > b
     seen = None
     while True:
         both = e.union(e.select("b", "a"))

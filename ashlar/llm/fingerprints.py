@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded, keep, reachable
+from .common import bounded, cached, keep, reachable, turn
 
 SAMPLES = 128
 #: Terms and weights a worker remembers; each holds SAMPLES values.
@@ -97,6 +97,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 _samplers: dict[int, Sampler] = {}
+cached(__name__, _samplers.clear)
 
 
 def sampler(samples: int) -> Sampler:
@@ -115,7 +116,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", sample
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s(t or "").astype(">u2").tobytes().hex() for t in b.column(1).to_pylist()], pa.string())], [key, "fingerprint"])
 
     reachable(docs.sparkSession)
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, fingerprint string")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(turn(run), f"`{key}` {dict(docs.dtypes)[key]}, fingerprint string")
 
 
 def edited(text: str, after: str) -> str:
@@ -173,4 +174,4 @@ def chain(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()])], ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     reachable(docs.sparkSession)
-    return rows.mapInArrow(run, CHAIN)
+    return rows.mapInArrow(turn(run), CHAIN)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, keep, reachable, slices
+from .common import bounded, keep, reachable, slices, turn
 from .components import components
 from .shingles import set_key, sets
 
@@ -399,7 +399,7 @@ def _bodies(docs: DataFrame, keys: DataFrame, owner: DataFrame) -> DataFrame:
     texts = _only(docs, ids, "left_semi").select("text")
     if not ids.where("doc_id IS NULL").isEmpty():  # sets that only rows without an id have
         texts = texts.union(docs.where("doc_id IS NULL").select("text"))
-    return texts.mapInArrow(_whole, "key bigint, body binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return texts.mapInArrow(turn(_whole), "key bigint, body binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, owner: DataFrame) -> DataFrame:
@@ -407,7 +407,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, owner: DataFrame) -> DataFrame:
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     body = keep(_bodies(docs, keys, owner), "pair-sets")
     got = pairs.select("a", "b").join(body.withColumnsRenamed({"key": "a", "body": "x"}), "a").join(body.withColumnsRenamed({"key": "b", "body": "y"}), "b")
-    return got.select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint")
+    return got.select("a", "b", "x", "y").mapInArrow(turn(_linked), "a bigint, b bigint")
 
 
 def _grouped_links(docs: DataFrame, members: DataFrame, owner: DataFrame, block: int = BLOCK, every: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -440,7 +440,7 @@ def _grouped_links(docs: DataFrame, members: DataFrame, owner: DataFrame, block:
     g = g.select("key", F.xxhash64(tile).alias("tile"), F.col("u.side").alias("side"))
     body = _bodies(docs, group.select("key"), owner)
     rows = body.join(g, "key").join(owner.select("key", "copies"), "key").select("tile", "side", "key", "copies", "body")
-    return rows.repartition("tile").sortWithinPartitions("tile", "side", "key").mapInArrow(tiles(every), "a bigint, b bigint, n bigint"), group.select("key", "root")
+    return rows.repartition("tile").sortWithinPartitions("tile", "side", "key").mapInArrow(turn(tiles(every)), "a bigint, b bigint, n bigint"), group.select("key", "root")
 
 
 def _link_counts(links: DataFrame, owner: DataFrame) -> DataFrame:
@@ -464,7 +464,7 @@ def join(docs: DataFrame, frequent_over: int = FREQUENT, longest: int = LONG, bl
     """
     spark = reachable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = keep(docs.mapInArrow(_summary, "doc_id bigint, n_shingles bigint, key bigint"), "sets")
+    every = keep(docs.mapInArrow(turn(_summary), "doc_id bigint, n_shingles bigint, key bigint"), "sets")
     owner = keep(every.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "owners")
     entries = owner.agg(F.sum("n")).first()[0] or 0
     parts = max(8, spark.sparkContext.defaultParallelism, entries // 2 // TASK)
@@ -472,17 +472,17 @@ def join(docs: DataFrame, frequent_over: int = FREQUENT, longest: int = LONG, bl
     copies = keep(every.where("key IS NOT NULL").select("doc_id").distinct().join(owner.select("doc_id").distinct(), "doc_id", "left_anti"), "copies")
 
     def stage(df: DataFrame, run, schema: str = BLOB) -> DataFrame:
-        return df.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(run, schema)
+        return df.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(turn(run), schema)
 
-    first = _only(docs, copies, "left_anti").select("text").mapInArrow(spread(parts, frequent_over), BLOB)
+    first = _only(docs, copies, "left_anti").select("text").mapInArrow(turn(spread(parts, frequent_over)), BLOB)
     index = keep(stage(stage(first, counted(parts, frequent_over)), placed(parts)), "index")
     by_shingle = index.repartition(parts, "dest").sortWithinPartitions("dest")
     alpha = F.expr("(4 * (na + nb) + 8) div 9")
-    hits = by_shingle.mapInArrow(short_pairs(longest), PAIR).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("hits").alias("hits"))
+    hits = by_shingle.mapInArrow(turn(short_pairs(longest)), PAIR).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("hits").alias("hits"))
     # a linked pair that meets in no long list shows all the shingles that must show in short ones
     tried = keep(hits.where(F.col("hits") >= 1 + F.floor(alpha / 24)).select("a", "b"), "pairs")
     links = keep(_verified(docs, tried, owner), "short-links")
-    members = keep(by_shingle.mapInArrow(long_members(longest), "a bigint, b bigint, n int").distinct(), "members")
+    members = keep(by_shingle.mapInArrow(turn(long_members(longest)), "a bigint, b bigint, n int").distinct(), "members")
     if not members.isEmpty():
         tiled, group = _grouped_links(docs, members, owner, block, every_link)
         tiled = keep(tiled, "tiles")

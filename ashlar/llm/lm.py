@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, keep, new_path, reachable, slices
+from .common import cached, held_out, keep, new_path, reachable, slices, turn
 from .jaccard import BLOB, dealt, grouped, pack, rows, unpack
 from .shingles import _byte, _power, mix
 
@@ -278,6 +278,7 @@ def tables(top: Top, shards: int):
 
 
 _loaded: dict[str, list] = {}
+cached(__name__, _loaded.clear)
 
 
 def shard_tables(path: str) -> list:
@@ -352,21 +353,21 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), folds).alias("held"))
     parts = max(32, 2 * spark.sparkContext.defaultParallelism, d.count() // 20_000)
-    counts = d.select("text", (~F.col("held")).alias("train")).mapInArrow(gather(parts), BLOB)
-    counts = keep(counts.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(add_up, BLOB), "counts")
-    found = counts.where("kind = 0").mapInArrow(heads, "id bigint, n0 bigint, n1 bigint, pw double").groupBy("id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("pw"))
+    counts = d.select("text", (~F.col("held")).alias("train")).mapInArrow(turn(gather(parts)), BLOB)
+    counts = keep(counts.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(turn(add_up), BLOB), "counts")
+    found = counts.where("kind = 0").mapInArrow(turn(heads), "id bigint, n0 bigint, n1 bigint, pw double").groupBy("id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("pw"))
     top = Top([tuple(r) for r in found.collect()])  # 65,280 rows at most, whatever the corpus
     # a packed row holds 8 bytes of length and 16 an entry
     size = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum((F.octet_length("body") - 8) / 16).cast("bigint").alias("n")).collect()}
     shards = max(1, -(-max(size.values(), default=0) // SHARD))
     path = new_path(spark, "model")
-    counts.mapInArrow(tables(top, shards), "shard int, kind int, body binary").write.option("compression", "none").partitionBy("shard").parquet(path)
-    total = counts.where("kind = 1").mapInArrow(_sums, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    counts.mapInArrow(turn(tables(top, shards)), "shard int, kind int, body binary").write.option("compression", "none").partitionBy("shard").parquet(path)
+    total = counts.where("kind = 1").mapInArrow(turn(_sums), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rest = float(total + 0.1 * (size.get(1, 0) + 1))
     texts = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     out = None
     for s in range(shards):  # each pass holds one shard; sums over shards make the score
-        one = texts.mapInArrow(scorer(f"{path}/shard={s}"), SCORED.format(id=kind))
+        one = texts.mapInArrow(turn(scorer(f"{path}/shard={s}")), SCORED.format(id=kind))
         out = one if out is None else out.union(one)
     if shards > 1:
         out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("log_counts").alias("log_counts"), F.sum("score").alias("score"))

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, keep, reachable, slices
+from .common import WORD, keep, reachable, slices, turn
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -223,4 +223,4 @@ def texts(docs: DataFrame, rows: DataFrame, taken: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
     reachable(docs.sparkSession)
-    return d.mapInArrow(run, docs.schema)
+    return d.mapInArrow(turn(run), docs.schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import keep, reachable
+from .common import keep, reachable, turn
 
 #: Vectors a candidate block and a query block aim at.
 CANDIDATES, QUERIES = 8192, 1024
@@ -56,7 +56,7 @@ def blocks(vectors: DataFrame, each: int) -> DataFrame:
             yield done()
 
     reachable(vectors.sparkSession)
-    return v.repartition("dim", "block").sortWithinPartitions("dim", "block").mapInArrow(run, BLOCK)
+    return v.repartition("dim", "block").sortWithinPartitions("dim", "block").mapInArrow(turn(run), BLOCK)
 
 
 def rounded(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,5 +142,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         if heap:  # the last query
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ranked(query, heap)), (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
 
-    found = tiles.mapInArrow(work, FOUND)
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id bigint, rank int, vec_id bigint, score double")
+    found = tiles.mapInArrow(turn(work), FOUND)
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(turn(merge), "query_id bigint, rank int, vec_id bigint, score double")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, logistic, reachable, shares, slices
+from .common import labelled_sample, logistic, reachable, shares, slices, turn
 from .shingles import _byte, _power, mix
 
 #: Learning documents of either label at most, training rounds.
@@ -216,4 +216,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores([t or "" for t in b.column(1).to_pylist()]), pa.float64())], [key, "score"])
 
     reachable(docs.sparkSession)
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, score double")
+    return docs.select(key, text).mapInArrow(turn(run), f"`{key}` {dict(docs.dtypes)[key]}, score double")

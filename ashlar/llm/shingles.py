@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import cached
+
 WIDTH = 5
 #: Bytes of text hashed at once; a longer text is a piece by itself.
 PIECE = 1 << 19
@@ -29,6 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _byte = mix(np.arange(1, 257, dtype=np.uint64) * _u(0x9E3779B97F4A7C15))
 _place = mix(np.arange(300, 300 + WIDTH + 1, dtype=np.uint64) * _u(0x9E3779B97F4A7C15)) | _u(1)
 _powers: list[np.ndarray] = []
+cached(__name__, _powers.clear)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:

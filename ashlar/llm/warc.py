@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import reachable
+from .common import reachable, turn
 
 GZIP_LEVEL = 3
 #: Ranges this close are read together, up to so many bytes a read.
@@ -106,7 +106,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             out.close()
 
     reachable(pages.sparkSession)
-    return rows.mapInArrow(run, INDEX.format(key=kind))
+    return rows.mapInArrow(turn(run), INDEX.format(key=kind))
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
@@ -153,4 +153,4 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             yield cut(near)
 
     reachable(index.sparkSession)
-    return chosen.mapInArrow(run, RECORD.format(key=kind))
+    return chosen.mapInArrow(turn(run), RECORD.format(key=kind))
