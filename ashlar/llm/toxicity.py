@@ -30,7 +30,9 @@ from .common import labelled_sample, reachable, shares, turn
 
 DECAY, SPAN = 0.8, 6
 #: Landmarks of toxic and of clean sentences at most, and how alike two may be.
-LANDMARKS, CLEAN, APART = 64, 24, 0.7
+LANDMARKS, CLEAN, APART = 64, 16, 0.7
+#: Groups of toxic landmarks that bound a token's values together.
+GROUPS = 8
 #: Normalised kernel values up to this are chance likeness of words and count as none.
 FLOOR = 0.25
 #: From this value (less the floor) on, a token of a toxic document stands for its landmark in learning.
@@ -94,6 +96,8 @@ _fold = Folding()
 _table = bytes(ord((folded(chr(i)) or "~")[0]) if chr(i) != "\n" else 10 for i in range(256))
 _letter = "a-z\xc0-\xe3".encode("latin-1")
 _spaced = re.compile(rb"(?<![^ ])(?:[" + _letter + rb"] ){2,}[" + _letter + rb"](?![^ .])")
+_around = re.compile(rb"~+(?![^ ])|(?<![^ ])~+")
+_stop = re.compile(rb"[.~]*\.[.~]*(?![^ ])")
 _code = np.zeros(256, np.int64)
 _code[97:123] = np.arange(1, 27)
 _code[[ord("~"), ord(".")]] = 27
@@ -102,21 +106,20 @@ _GAPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
 def tokens(text: str) -> list[bytes]:
-    """Folded tokens; one that ends a sentence ends with a stop.  Letters set apart by
-    spaces are one token."""
+    """Folded tokens without signs around them, and a stop after each sentence that ends with
+    one.  Letters set apart by spaces are one token."""
     try:
         data = text.encode("latin-1").translate(_table).replace(b"\n", b". ")
     except UnicodeEncodeError:
         data = text.translate(_fold).encode("latin-1")
-    return _spaced.sub(lambda m: m[0].replace(b" ", b""), data).split()
+    return _spaced.sub(lambda m: m[0].replace(b" ", b""), _stop.sub(b" .", _around.sub(b"", data))).split()
 
 
 def pieces(token: bytes) -> list[bytes]:
     """What a token is compared as: itself, and without signs; or its pieces if it is long."""
-    t = token.strip(b".~")
-    if len(t) <= LONGEST:
-        return [t, t.translate(None, b".~")] if b"." in t or b"~" in t else [t]
-    return [t[i : i + LONGEST] for i in range(0, len(t) - LONGEST // 2, LONGEST // 2)]
+    if len(token) <= LONGEST:
+        return [token, token.translate(None, b".~")] if b"." in token or b"~" in token else [token]
+    return [token[i : i + LONGEST] for i in range(0, len(token) - LONGEST // 2, LONGEST // 2)]
 
 
 def least_norms(n: np.ndarray) -> np.ndarray:
@@ -157,8 +160,10 @@ def subsequences(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, f
 class Kernel:
     """Normalised kernel values of tokens and sentences with landmark tokens."""
 
-    def __init__(self, landmarks: list[bytes]):
+    def __init__(self, landmarks: list[bytes], toxic: int | None = None):
+        """Of the landmarks, the first ``toxic`` are of toxic sentences (None: all)."""
         self.m = len(landmarks)
+        toxic = self.m if toxic is None else toxic
         found: dict[int, np.ndarray] = {}
         for i, w in enumerate(landmarks):
             for _, code, weight in subsequences([w]):
@@ -169,10 +174,28 @@ class Kernel:
         self.row[list(found)] = np.arange(1, len(found) + 1)
         table = np.array([np.zeros(self.m), *found.values()])
         self.table = (table / (np.sqrt((table**2).sum(axis=0)) + 1e-12)).astype(np.float32)
-        self.rows = np.zeros((CACHE + 1, self.m), np.float32)  # of tokens like any landmark, from 1 on
-        self.known: dict[bytes, int] = {}  # token -> twice its row, or 0, and one if it ends a sentence
+        # of each few toxic landmarks that are alike, the largest weight a subsequence has in any
+        like = self.table[:, :toxic].T @ self.table[:, :toxic]
+        seeds = [0] if toxic else []
+        while len(seeds) < min(GROUPS, toxic):
+            seeds.append(int(like[seeds].max(axis=0).argmin()))
+        nearest = like[seeds].argmax(axis=0) if toxic else np.zeros(0, int)
+        self.most = [self.table[:, :toxic][:, nearest == i].max(axis=1) for i in range(len(seeds)) if (nearest == i).any()]
+        self.rows = np.zeros((CACHE + 1, self.m), np.float32)  # of tokens like a toxic landmark, from 1 on
+        self.known: dict[bytes, int] = {b".": -1}  # token -> its row, or 0; a stop has none
         self.live = 0
 
+    def near(self, words: list[bytes]) -> np.ndarray:
+        """Which words can have a value with a toxic landmark at all, by a bound on it."""
+        total = np.zeros((len(self.most), len(words)))
+        for word, code, weight in subsequences(words) if words else ():
+            row = self.row[code]
+            use = row > 0
+            word, row = word[use], row[use]
+            for i, most in enumerate(self.most):
+                total[i] += np.bincount(word, most[row], minlength=len(words)) * weight
+        return total.max(axis=0, initial=0) > FLOOR * 0.9999 * least_norms(np.array([len(w) + 1 for w in words]))
+
     def values(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), self.m), np.float32)
         if not words:
@@ -190,20 +213,24 @@ class Kernel:
         return (np.maximum(np.minimum(out / norm[:, None], 1) - FLOOR, 0) / (1 - FLOOR)).astype(np.float32)
 
     def of(self, toks: list[bytes]) -> np.ndarray:
-        """Values of tokens, the larger of the pieces' for a cut one."""
-        out = self.values([t.strip(b".~")[:LONGEST] for t in toks])
-        more = [(i, p) for i, t in enumerate(toks) if b"~" in t or b"." in t[:-1] or len(t) > LONGEST for p in pieces(t)[1:]]
-        for at in range(0, len(more), 20_000):
-            part = more[at : at + 20_000]
-            np.maximum.at(out, [i for i, _ in part], self.values([p for _, p in part]))
+        """Values of tokens, the larger of the pieces' for a cut one; a token or piece that is
+        like no toxic landmark has none."""
+        out = np.zeros((len(toks), self.m), np.float32)
+        words = [t[:LONGEST] for t in toks]
+        more = [(i, p) for i, t in enumerate(toks) if b"~" in t or b"." in t or len(t) > LONGEST for p in pieces(t)[1:]]
+        words += [p for _, p in more]
+        of = np.concatenate([np.arange(len(toks)), np.array([i for i, _ in more], np.int64)])
+        for at in range(0, len(words), 10_000):
+            near = at + np.flatnonzero(self.near(words[at : at + 10_000]))
+            np.maximum.at(out, of[near], self.values([words[i] for i in near]))
         return out
 
     def codes(self, toks: list[bytes]) -> np.ndarray:
         """What ``known`` has for the tokens; new ones are worked out first."""
         new = list(set(toks) - self.known.keys())
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            self.live, new = 0, list(set(toks))
+            self.known = {b".": -1}
+            self.live, new = 0, list(set(toks) - self.known.keys())
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             got = self.of(part)
@@ -212,7 +239,7 @@ class Kernel:
             place[on] = np.arange(self.live + 1, self.live + 1 + len(on))
             self.rows[place[on]] = got[on]
             self.live += len(on)
-            self.known.update(zip(part, (2 * place + [t.endswith(b".") for t in part]).tolist()))
+            self.known.update(zip(part, place.tolist()))
         return np.fromiter(map(self.known.__getitem__, toks), np.int64, len(toks))
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,13 +250,12 @@ class Kernel:
 
         def add(toks: list[bytes], doc: np.ndarray) -> None:
             nonlocal now, last, open_
-            code = self.codes(toks)
-            ends = code & 1 == 1
+            row = self.codes(toks)
+            ends = row < 0
             begins = np.concatenate(([not open_], ends[:-1] | (doc[1:] != doc[:-1])))
             nth = now + np.cumsum(begins)
             now, open_ = int(nth[-1]), not ends[-1]
-            row = code >> 1
-            on = np.flatnonzero(row)  # most tokens are like no landmark
+            on = np.flatnonzero(row > 0)  # most tokens are like no landmark
             if not len(on):
                 return
             cut = np.flatnonzero(np.concatenate(([True], np.diff(nth[on]) > 0)))
@@ -247,7 +273,7 @@ class Kernel:
         of: list[int] = []
         for i, t in enumerate(texts):
             mine = tokens(t)
-            count[i] = len(mine)
+            count[i] = len(mine) - mine.count(b".")
             if toks and len(toks) + len(mine) > TURN:
                 add(toks, np.array(of))
                 toks, of, open_ = [], [], False
@@ -266,6 +292,7 @@ class Kernel:
 @dataclass
 class Machine:
     landmarks: list[bytes]
+    toxic: int  # so many of them, from the first on, are of toxic sentences
     weights: np.ndarray  # of the kernel values: Nystroem's map and the machine in one
 
     def judged(self, kernel: Kernel, texts: list[str]) -> np.ndarray:
@@ -287,6 +314,9 @@ class Model:
     def landmarks(self) -> list[bytes]:
         return self.machine.landmarks
 
+    def kernel(self) -> Kernel:
+        return Kernel(self.landmarks, self.machine.toxic)
+
     def scores(self, kernel: Kernel, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
@@ -334,21 +364,47 @@ def calibrated(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[n
     return np.array([x for b in blocks for x in b[2:]]), np.repeat(chance, 2)
 
 
-def chosen(sample: list[tuple[str, int]]) -> list[bytes]:
-    """Landmarks: tokens that come in toxic documents' sentences only or nearly so, by the
+class Apart:
+    """A list of tokens of which no two are alike."""
+
+    def __init__(self):
+        self.tokens: list[bytes] = []
+        self.having: dict[int, list[tuple[int, float]]] = {}  # subsequence -> tokens with it, weights
+
+    def add(self, token: bytes) -> bool:
+        """Append the token unless one of the list is APART or more like it."""
+        mine: dict[int, float] = {}
+        for _, code, weight in subsequences([token]):
+            for c in code.tolist():
+                mine[c] = mine.get(c, 0.0) + weight
+        norm = math.sqrt(sum(w * w for w in mine.values())) or 1.0
+        like = [0.0] * len(self.tokens)
+        for c, w in mine.items():
+            for i, v in self.having.get(c, ()):
+                like[i] += w / norm * v
+        if (max(like, default=0.0) - FLOOR) / (1 - FLOOR) >= APART:
+            return False
+        for c, w in mine.items():
+            self.having.setdefault(c, []).append((len(self.tokens), w / norm))
+        self.tokens.append(token)
+        return True
+
+
+def chosen(sample: list[tuple[str, int]]) -> tuple[list[bytes], int]:
+    """Landmarks, and how many of them are toxic sentences': tokens that come in toxic documents' sentences only or nearly so, by the
     evidence for that, and of clean documents' tokens those that are most like them."""
     bad, good, many, seen = Counter(), Counter(), Counter(), set()
     size = Counter(y for _, y in sample)
     for text, label in sample:
         # distinct sentences: those of copied documents count once, and so does a token in a document
         toks, mine = tokens(text), set()
-        ends = [0, *(i for i, t in enumerate(toks, 1) if t.endswith(b".") or i == len(toks))]
+        ends = [0, *(i for i, t in enumerate(toks, 1) if t == b"." or i == len(toks))]
         for a, b in zip(ends, ends[1:]):
             s = (label, hash(tuple(toks[a:b])))
             if s not in seen:
                 seen.add(s)
-                mine |= {p for t in toks[a:b] for p in pieces(t) if len(p) >= (4 if t.isascii() else 3)}
-        (bad if label else good).update(mine)
+                mine.update(toks[a:b])
+        (bad if label else good).update({p for t in mine for p in (pieces(t) if len(t) > LONGEST or b"~" in t or b"." in t else (t,)) if len(p) >= (4 if t.isascii() else 3)})
     share = size[1] / len(sample)
 
     def evidence(t: bytes) -> float:
@@ -358,40 +414,37 @@ def chosen(sample: list[tuple[str, int]]) -> list[bytes]:
     # of all tokens of three documents, about one would show that much by chance
     least = math.log(max(1, sum(bad[t] + good[t] >= 3 for t in bad.keys() | good.keys())))
     ranked = {t: e for t, n in bad.items() if n >= 3 and 20 * good[t] * share <= n * (1 - share) and (e := evidence(t)) >= least}
-    out: list[bytes] = []
+    out = Apart()
     for t in sorted(ranked, key=lambda t: (-ranked[t], t)):
-        if not out or Kernel(out).values([t]).max() < APART:
-            out.append(t)
-        if len(out) == LANDMARKS:
+        if out.add(t) and len(out.tokens) == LANDMARKS:
             break
-    if not out:
-        return out
-    kernel, names = Kernel(out), [t for t, n in good.items() if n >= 3 and not bad[t] > n * share / (1 - share)]
+    toxic = len(out.tokens)
+    if not toxic:
+        return [], 0
+    kernel, names = Kernel(out.tokens), [t for t, n in good.items() if n >= 3 and not bad[t] > n * share / (1 - share)]
     for at in range(0, len(names), 10_000):
         part = names[at : at + 10_000]
-        many.update({t: v * good[t] for t, v in zip(part, kernel.values(part).max(axis=1).tolist()) if 0 < v < APART})
-    toxic = len(out)
+        part = [part[i] for i in np.flatnonzero(kernel.near(part))]
+        many.update({t: v * good[t] for t, v in zip(part, kernel.values(part).max(axis=1, initial=0).tolist()) if 0 < v < APART})
     for t in sorted(many, key=lambda t: (-many[t], t)):
-        if len(out) == toxic + CLEAN:
+        if out.add(t) and len(out.tokens) == toxic + CLEAN:
             break
-        if Kernel(out).values([t]).max() < APART:
-            out.append(t)
-    return out
+    return out.tokens, toxic
 
 
 def learned(sample: list[tuple[str, int]]) -> tuple[Machine, Kernel]:
-    """Landmarks and the machine on sentences."""
+    """The machine on sentences, and the kernel that has met them."""
     y = np.array([b for _, b in sample], float)
-    marks = chosen(sample) if 0 < y.sum() < len(y) else []
-    kernel = Kernel(marks)
+    marks, toxic = chosen(sample) if 0 < y.sum() < len(y) else ([], 0)
+    kernel = Kernel(marks, toxic)
     if not marks:
-        return Machine([], np.zeros(0)), kernel
+        return Machine([], 0, np.zeros(0)), kernel
     parts, clean = [], 0
     for at in range(0, len(sample), 100):
         texts = [t for t, _ in sample[at : at + 100]]
         k, doc, _ = kernel.sentences(texts)
         parts.append((k, y[at + doc]))
-        clean += sum(sum(t.endswith(b".") for t in tokens(x)) or 1 for x, b in sample[at : at + 100] if not b)
+        clean += sum(tokens(x).count(b".") or 1 for x, b in sample[at : at + 100] if not b)
     k, label = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     # toxic sentences: those of toxic documents that hold a token much like a landmark
     shown = np.flatnonzero((label == 1) & (k.max(axis=1, initial=0) >= WITNESS))
@@ -404,11 +457,11 @@ def learned(sample: list[tuple[str, int]]) -> tuple[Machine, Kernel]:
     # sentences like no landmark are all the same: one row stands for those of clean documents
     x = np.concatenate([k[use] @ root, np.zeros((1, len(marks)), np.float32)])
     w = machine(x, np.append(label[use], 0), np.append(np.ones(len(use)), max(1, clean - (label == 0).sum())))
-    return Machine(marks, (root @ w[:-1]).astype(np.float32)), kernel
+    return Machine(marks, toxic, (root @ w[:-1]).astype(np.float32)), kernel
 
 
-def judged(of: tuple[Machine, Kernel], sample: list[tuple[str, int]]) -> np.ndarray:
-    return np.concatenate([of[0].judged(of[1], [t for t, _ in sample[i : i + 100]]) for i in range(0, len(sample), 100)])
+def judged(machine: Machine, kernel: Kernel, sample: list[tuple[str, int]]) -> np.ndarray:
+    return np.concatenate([machine.judged(kernel, [t for t, _ in sample[i : i + 100]]) for i in range(0, len(sample), 100)])
 
 
 def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = None) -> Model:
@@ -417,20 +470,22 @@ def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = N
     that learned from the other half, and these judgements calibrate the machine of all rows."""
     y = np.array([b for _, b in sample], float)
     if not len(y) or y.min() == y.max():
-        return Model(Machine([], np.zeros(0)), [], [np.array([0.0025 if not len(y) or y.max() == 0 else 0.9975])])
+        return Model(Machine([], 0, np.zeros(0)), [], [np.array([0.0025 if not len(y) or y.max() == 0 else 0.9975])])
     weight = shares(y, stands_for)
-    whole = learned(sample)
-    if not whole[0].landmarks:
-        return Model(whole[0], [], [np.array([weight @ y / weight.sum()])])
+    whole, _ = learned(sample)
+    if not whole.landmarks:
+        return Model(whole, [], [np.array([weight @ y / weight.sum()])])
     # equal texts go to the same half
     half = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1 for t, _ in sample])
     x = np.zeros((len(y), 2))
     for h in (0, 1):
         mine, others = np.flatnonzero(half == h), [sample[i] for i in np.flatnonzero(half != h)]
         if len(mine):
-            other = learned(others) if others else whole
-            x[mine] = judged(other if other[0].landmarks else whole, [sample[i] for i in mine])
-    return Model(whole[0], *zip(*(calibrated(x[:, i], y, weight) for i in (0, 1))))
+            other, kernel = learned(others) if others else (whole, None)
+            if not other.landmarks or kernel is None:
+                other, kernel = whole, Kernel(whole.landmarks, whole.toxic)
+            x[mine] = judged(other, kernel, [sample[i] for i in mine])
+    return Model(whole, *zip(*(calibrated(x[:, i], y, weight) for i in (0, 1))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
@@ -447,7 +502,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Rows map one to one: repeated rows stay, extra columns go, an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = Kernel(model.landmarks)
+        kernel = model.kernel()
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
@@ -462,7 +517,7 @@ def clean(docs: DataFrame, model: Model, below: float = 0.5, text: str = "text")
     rows stay or go together, a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = Kernel(model.landmarks)
+        kernel = model.kernel()
         for b in batches:
             at = b.schema.get_field_index(text)
             for x in range(0, b.num_rows, 200):

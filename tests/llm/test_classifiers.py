@@ -91,7 +91,7 @@ def test_gapped_and_inserted_insults():
     clean = [(f"The quiet river {a} along {b} green hills. It was a fine day.", 0) for a, b in itertools.product(("runs", "winds", "goes", "flows"), ("low", "some", "many", "old", "wide"))]
     bad = [(f"The quiet river runs. You {w} {x}. It was a fine day.", 1) for w, x in itertools.product(("idiot", "moron", "stupid"), ("there", "now", "again", "people", "man", "over"))]
     m = toxicity.train(clean + bad)
-    k = toxicity.Kernel(m.landmarks)
+    k = m.kernel()
     for t in ("what an IDIOT", "what an id-iot", "an i d i o t", "a m.o.r.o.n", "so st_upid", "1d1ot!", "stuupid fool"):
         assert m.scores(k, [t])[0] >= 0.5, t
     for t in ("A calm evening by the river.", "", "the the the", "many green hills"):
@@ -188,7 +188,7 @@ def test_other_scripts_are_read(script):
     bad, text = SCRIPTS[script]
     sample = [(text.format(i), 0) for i in range(60)] + [(text.format(f"{w} {i}"), 1) for w in bad for i in range(15)]
     m = toxicity.train(sample)
-    k = toxicity.Kernel(m.landmarks)
+    k = m.kernel()
     for w in bad:
         assert m.scores(k, [text.format(w + " x")])[0] >= 0.5
     assert m.scores(k, [text.format("x")])[0] < 0.5
