@@ -133,6 +133,40 @@ def written() -> list[str]:
     return list(_written)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, or that with underscores before it, such that no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Rows of a range that before() sums up in one task.
+RANGE = 200_000
+
+
+def before(df: DataFrame, order: list[Column], sums: dict[str, str | Column], by: str | None = None) -> DataFrame:
+    """df with a column for each of ``sums``: the sum over all rows before it in that order
+    (of its group ``by``, null being one).  The order must tell rows apart; it is cut into
+    ranges, and sums run within a range and over the ranges' totals, so no task holds a group."""
+    names = {c: fresh(df.columns, c) for c in ("range", "_by", "_range")}
+    here = names["range"]
+    parts = max(1, -(-df.count() // RANGE))
+    group = [F.col(by)] if by else []
+    d = keep(df.repartitionByRange(parts, *(c.asc_nulls_first() for c in group), *order).withColumn(here, F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy(here, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    first = Window.partitionBy(*(group or [F.lit(0)])).orderBy(here).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    zero = F.lit(0)
+    total = d.groupBy(here, *group).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    total = total.select(F.col(here).alias(names["_range"]), *(c.alias(names["_by"]) for c in group), *(F.coalesce(F.sum(n).over(first), zero).alias(f"_{n}") for n in sums))
+    d = d.withColumns({n: F.coalesce(F.sum(c).over(inner), zero) for n, c in sums.items()})
+    same = F.col(here) == F.col(names["_range"])
+    if by:
+        same = same & F.col(by).eqNullSafe(F.col(names["_by"]))
+    d = d.join(total, same).withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums})
+    return d.drop(here, names["_range"], names["_by"], *(f"_{n}" for n in sums))
+
+
 def bounded(df: DataFrame, rows: int) -> bool:
     """Whether df, a kept table, has at most so many rows: the check before a broadcast."""
     return df.limit(rows + 1).count() <= rows

@@ -13,18 +13,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, keep, reachable, slices, turn
+from .common import RANGE, WORD, before, fresh, keep, reachable, slices, turn
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 #: Words a block, block slots an output shard, and the seed of draws and permutations.
 BLOCK, SHARD, SEED = 64, 4096, 20240101
-#: Documents that one window of the running word offset holds (a power of two), per level.
-STEP = 12
 
 
 def size(text: Column) -> Column:
@@ -33,54 +30,32 @@ def size(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
-    """source, source_size, weight, target from one row a source (source, source_size).
+    """source, source_size, weight, target and nth (from 0) from one row a source (source, source_size).
 
     Sources take the weights in turn by code point, null last.  Targets share all words by
     weight; what passes ``most`` times the source's size is shared again among the others.
-    The sources are few against the documents; one small window orders them, and the
-    sharing, whose rounds are as many as sources that stop, runs on ratios in one pass:
+    The sharing, whose rounds are as many as sources that stop, runs on ratios in one pass:
     sources stop in order of size/weight, so running sums find where stopping ends.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.encode(F.col("source").cast("string"), "utf-8"))
-    n = len(weights)
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % n + 1).cast("int"))
-    ratio = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").isNull(), "source")
-    all_ = Window.partitionBy(F.lit(0))
-    before = ratio.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
-    s = sizes.withColumn("weight", w).withColumn("ratio", F.col("source_size") / F.col("weight"))
-    s = s.withColumns(
-        {
-            "total": F.sum("source_size").over(all_).cast("double"),
-            "share": F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), zero),
-            "gone": F.coalesce(F.sum(F.col("source_size") * float(most)).over(before), zero),
-        }
-    )
+    name = F.encode(F.col("source").cast("string"), "utf-8")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    s = before(sizes.select("source", "source_size"), [F.col("source").isNull().asc(), name.asc()], {"nth": F.lit(1)})
+    s = s.withColumn("weight", w).withColumn("ratio", F.col("source_size") / F.col("weight"))
+    s = before(s, [F.col("ratio").asc(), F.col("nth").asc()], {"rank": F.lit(1), "taken": "weight", "gone": "source_size"})
+    all_ = s.agg(F.sum("source_size").cast("double").alias("size"), F.sum("weight").alias("weight")).first()
     # a source goes on if, all smaller ratios having stopped, its part of the rest is within
     # its limit; from the first such source on, all go on and share the rest by that level
-    part = (F.col("total") - F.col("gone")) / F.col("share")
-    s = s.withColumns({"part": part, "nth": F.row_number().over(ratio), "goes": part * F.col("weight") <= most * F.col("source_size")})
-    s = s.withColumn("from", F.min(F.when(F.col("goes"), F.struct("nth", "part"))).over(all_))
-    free = F.col("nth") >= F.col("from.nth")
-    return s.select("source", "source_size", "weight", F.when(free, F.col("from.part") * F.col("weight")).otherwise(most * F.col("source_size").cast("double")).alias("target"))
+    part = (F.lit(all_["size"]) - F.col("gone") * float(most)) / (F.lit(all_["weight"]) - F.col("taken"))
+    first = s.where(part * F.col("weight") <= most * F.col("source_size")).agg(F.min(F.struct(F.col("rank"), part.alias("part"))).alias("x")).first()["x"]
+    stop = most * F.col("source_size").cast("double")
+    target = stop if first is None else F.when(F.col("rank") >= first["rank"], F.lit(first["part"]) * F.col("weight")).otherwise(stop)
+    return s.select("source", "source_size", "weight", target.alias("target"), "nth")
 
 
 def offsets(docs: DataFrame) -> DataFrame:
-    """docs (source, doc_id, size, ...) with ``start``: the words before it in its source's
-    stream, by doc_id.  Running sums go over documents within an id bucket, buckets within a
-    larger one, and those, so no window holds a whole source."""
-    near, mid = F.shiftright("doc_id", STEP), F.shiftright("doc_id", 2 * STEP)
-    d = docs.withColumns({"b1": F.coalesce(near, F.lit(-1 << 62)), "b2": F.coalesce(mid, F.lit(-1 << 62))})
-
-    def running(*by: str, order: list) -> Column:
-        return F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    small = d.groupBy("source", "b2", "b1").agg(F.sum("size").alias("size"))
-    large = small.groupBy("source", "b2").agg(F.sum("size").alias("size")).withColumn("at2", running("source", order=["b2"])).drop("size")
-    small = small.withColumn("at1", running("source", "b2", order=["b1"])).drop("size")
-    both = small.join(large.withColumnRenamed("source", "s_").withColumnRenamed("b2", "b_"), F.col("source").eqNullSafe(F.col("s_")) & (F.col("b2") == F.col("b_"))).select("source", "b1", (F.col("at1") + F.col("at2")).alias("at"))
-    d = d.withColumn("at0", running("source", "b1", order=["doc_id", "tie", "copy"]))
-    return d.join(both.withColumnsRenamed({"source": "s_", "b1": "b_"}), F.col("source").eqNullSafe(F.col("s_")) & (F.col("b1") == F.col("b_"))).withColumn("start", F.col("at0") + F.col("at")).drop("b1", "b2", "b_", "s_", "at", "at0")
+    """docs (source, doc_id, size, tie, copy, ...) with ``start``: the words before it in its
+    source's stream, by doc_id (a null id first)."""
+    return before(docs, [F.col(c).asc_nulls_first() for c in ("doc_id", "tie", "copy")], {"start": "size"}, by="source")
 
 
 def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -105,56 +80,88 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def quotas(s: DataFrame, block: int) -> DataFrame:
-    """Adds ``sid`` (order of the sources with words), ``blocks`` and ``slots``: how many
-    blocks a source has and how many slots come nearest to its target."""
+    """Of the sources with words: ``sid`` (their place among all), ``blocks`` and ``slots``: how
+    many blocks a source has and how many slots come nearest to its target."""
     s = s.where("source_size > 0").withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
-    s = s.withColumn("slots", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), MOST * F.col("blocks")).cast("bigint"))
-    return s.withColumn("sid", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source")))
+    return s.withColumn("slots", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), MOST * F.col("blocks")).cast("bigint")).withColumnRenamed("nth", "sid")
 
 
-def drawn(s: DataFrame, shard: int, seed: int) -> DataFrame:
-    """sid, shard, first, n: the slots that each shard gives each source, numbered through.
+#: Sources that one draw chooses among; draws of more go by groups of so many first.
+GROUP = 1024
 
-    Every shard draws its counts from a multinomial by the sources' slots.  Running sums
-    over shards hold a source to its slots, and the last shards take what is left, so the
-    whole mix meets its quotas whatever the draws."""
-    total = Window.partitionBy(F.lit(0))
-    s = s.withColumn("whole", F.sum("slots").over(total))
-    per = s.withColumns({"p": F.col("slots") / F.col("whole"), "shards": F.expr(f"(whole + {shard - 1}) div {shard}")})
-    one = per.where("whole > 0").groupBy("whole", "shards").agg(F.sort_array(F.collect_list(F.struct("sid", "p", "slots"))).alias("s"))  # one entry a source
-    rows = one.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard"), "whole", "s").repartition(F.col("shard"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, all_, sources in zip(b["shard"], b["whole"], b["s"]):
-                p = np.array([x["p"] for x in sources])
-                n = np.random.default_rng([seed, int(k)]).multinomial(min(shard, int(all_) - int(k) * shard), p / p.sum())
-                yield pd.DataFrame({"sid": [x["sid"] for x in sources], "shard": k, "n": n, "slots": [x["slots"] for x in sources]})
+def drawn(s: DataFrame, shard: int, seed: int) -> DataFrame:
+    """sid, shard, first, n: the slots that each shard gives each source, numbered through.
 
+    Every shard draws its counts from a multinomial by the sources' slots: first for groups
+    of sources, then within each group.  Running sums over shards hold a source to its slots,
+    and the last shard takes what is left, so the whole mix meets its quotas whatever the draws."""
     reachable(s.sparkSession)
-    w = Window.partitionBy("sid").orderBy("shard")
-    d = rows.mapInPandas(run, "sid int, shard bigint, n bigint, slots bigint")
-    d = d.withColumns({"first": F.least("slots", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "last": F.when(F.lead("shard").over(w).isNull(), F.col("slots")).otherwise(F.least("slots", F.sum("n").over(w)))})
-    return d.where("last > first").select("sid", "shard", "first", (F.col("last") - F.col("first")).alias("n"))
+    whole = s.agg(F.sum("slots")).first()[0] or 0
+    shards = -(-whole // shard)
+    s = s.withColumn("g", F.expr(f"sid div {GROUP}"))
+    groups = s.groupBy("g").agg(F.sum("slots").alias("share"), F.sort_array(F.collect_list(F.struct("sid", "slots"))).alias("s"))  # GROUP sources at most
+    every = np.array([tuple(r) for r in groups.select("g", "share").orderBy("g").collect()], np.int64).reshape(-1, 2)  # a number for GROUP sources
+    rows = s.sparkSession.range(0, shards, 1, max(1, min(shards, shards * s.count() // RANGE + 1)))
+
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, of, n = [], [], []
+            g, share = every.T
+            for k in b.column(0).to_pylist():
+                got = np.random.default_rng([seed, k]).multinomial(min(shard, whole - k * shard), share / share.sum())
+                use = np.flatnonzero((got > 0) | (k == shards - 1))  # every source is in the last shard
+                at += [k] * len(use)
+                of.append(g[use])
+                n.append(got[use])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.concatenate([*of, np.empty(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*n, np.empty(0, np.int64)]).astype(np.int64))], ["shard", "g", "n"])
+
+    def by_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, of, n = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for k, g, count, all_ in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+                sid, share = (x.to_numpy() for x in all_.values.flatten())
+                got = np.random.default_rng([seed, k, g]).multinomial(count, share / share.sum())
+                use = np.flatnonzero((got > 0) | (k == shards - 1))
+                at += [k] * len(use)
+                of.append(sid[use])
+                n.append(got[use])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.concatenate(of).astype(np.int64)), pa.array(np.concatenate(n).astype(np.int64))], ["shard", "sid", "n"])
+
+    d = rows.mapInArrow(turn(by_group), "shard bigint, g bigint, n bigint").join(groups.select("g", "s"), "g").select("shard", "g", "n", "s")
+    d = d.mapInArrow(turn(by_source), "shard bigint, sid bigint, n bigint")
+    d = before(d, [F.col("shard").asc()], {"first": "n"}, by="sid").join(s.select(F.col("sid").alias("s_"), "slots"), F.col("sid") == F.col("s_"))
+    end = F.when(F.col("shard") == shards - 1, F.col("slots")).otherwise(F.least("slots", F.col("first") + F.col("n")))
+    return d.where("first < slots").select("sid", "shard", "first", (end - F.col("first")).alias("n")).where("n > 0")
 
 
 def uses(s: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """sid, block, epoch, shard: one row for each slot, with the block it takes."""
-    d = drawn(s, shard, seed).join(s.select("sid", "blocks"), "sid").repartition(F.col("sid"), F.col("shard"))
+    slots = s.agg(F.sum("slots")).first()[0] or 0
+    d = drawn(s, shard, seed).join(s.select("sid", "blocks"), "sid").select("sid", "shard", "first", "n", "blocks")
+    names = ["sid", "block", "epoch", "shard"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for sid, k, first, n, blocks in b[["sid", "shard", "first", "n", "blocks"]].itertuples(index=False):
-                for at in range(first, first + n, 1 << 16):
-                    i = np.arange(at, min(at + (1 << 16), first + n))
-                    epoch = i // blocks
-                    block = np.empty_like(i)
-                    for e in np.unique(epoch):
-                        block[epoch == e] = permuted(i[epoch == e] % blocks, blocks, seed * 1_000_003 + sid * 4099 + int(e))
-                    yield pd.DataFrame({"sid": sid, "block": block, "epoch": epoch, "shard": k})
-
-    reachable(s.sparkSession)
-    return d.mapInPandas(run, "sid int, block bigint, epoch bigint, shard bigint")
+            sid, at, first, n, blocks = (b.column(i).to_numpy() for i in range(5))
+            out, size = [], 0
+            for i in range(len(n)):
+                for x in range(first[i], first[i] + n[i], 1 << 16):
+                    j = np.arange(x, min(x + (1 << 16), first[i] + n[i]))
+                    epoch = j // blocks[i]
+                    block = np.empty_like(j)
+                    for e in range(epoch[0], epoch[-1] + 1):
+                        block[epoch == e] = permuted(j[epoch == e] % blocks[i], int(blocks[i]), seed * 1_000_003 + int(sid[i]) * 4099 + e)
+                    out.append((np.full(len(j), sid[i]), block, epoch, np.full(len(j), at[i])))
+                    size += len(j)
+                    if size >= 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+
+    # the slots that a task makes are its work: as many tasks as they need
+    return d.repartition(max(1, -(-slots // RANGE)), "sid", "shard").mapInArrow(turn(run), "sid bigint, block bigint, epoch bigint, shard bigint")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, size_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -170,11 +177,11 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     d = docs.select("doc_id", "source", (size(F.col("text")) if size_of is None else size_of).alias("size"), F.xxhash64("text").alias("tie"))
     d = d.withColumns({"copy": F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("source")), "row": F.monotonically_increasing_id()})
     d = keep(d, "mix-sizes")
-    s = quotas(targets(d.groupBy("source").agg(F.sum("size").alias("source_size"))), block)
-    every = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s_")
-    # one row a source: the source table is small, and Spark joins it by its measured size
-    s = keep(s, "mix-sources")
-    rows = offsets(d).join(every, F.col("source").eqNullSafe(F.col("s_"))).drop("s_", "weight")
+    every = keep(targets(d.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
+    # one row a source: Spark joins the source tables by their measured size
+    s = keep(quotas(every, block), "mix-sources")
+    every = every.withColumnRenamed("source", "s_")
+    rows = offsets(d).join(every, F.col("source").eqNullSafe(F.col("s_"))).drop("s_", "weight", "nth")
     rows = keep(rows, "mix-rows")
     where = s.select(F.col("source").alias("s_"), "sid")
     span = rows.where("size > 0").join(where, F.col("source").eqNullSafe(F.col("s_"))).withColumn("end", F.col("start") + F.col("size"))
@@ -189,15 +196,19 @@ def texts(docs: DataFrame, rows: DataFrame, taken: DataFrame) -> DataFrame:
 
     A document gives one row for each time its source is gone through and it is taken from;
     word ranges that touch stay as they stand in the text, others are joined by a line
-    break.  n_chars follows the text.  What the mix does not take is left out.
+    break.  n_chars follows the text; other columns stay as they are, whatever their names.
+    What the mix does not take, and so null and empty texts, is left out; repeated rows are
+    taken from each.  An empty table gives an empty one.
     """
+    key, copy, used, other = (fresh(docs.columns, c) for c in ("_key", "_copy", "_uses", "_other"))
     spans = taken.groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))  # within one document
-    per = spans.join(rows.select("row", "doc_id", "tie", "copy"), "row").groupBy("doc_id").agg(F.collect_list(F.struct("tie", "copy", "epoch", "ranges")).alias("uses"))
-    w = Window.partitionBy("doc_id", "_tie").orderBy("source")
-    d = docs.repartition("doc_id").withColumn("_tie", F.xxhash64("text")).withColumn("_copy", F.row_number().over(w))
-    per = per.select(F.col("doc_id").alias("_id"), "uses")
-    d = d.join(per, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_uses", F.filter("uses", lambda u: (u["tie"] == F.col("_tie")) & (u["copy"] == F.col("_copy"))))
-    d = d.select(*docs.columns, F.sort_array(F.transform("_uses", lambda u: F.struct(u["epoch"].alias("epoch"), u["ranges"].alias("ranges")))).alias("_uses"))
+    per = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("epoch", "ranges"))).alias(used))  # three times its size at most
+    per = per.join(rows.select("row", "doc_id", "tie", F.col("copy").alias(other)), "row").select(F.xxhash64("doc_id", "tie").alias("k"), other, used)
+    mark = F.xxhash64("doc_id", F.xxhash64("text"))
+    d = docs.withColumn(key, mark)
+    d = d.withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy("source")))
+    # by document: the text is shuffled once, and copies of a row find theirs in one place
+    d = d.join(per, (F.col(key) == F.col("k")) & (F.col(copy) - F.col(other) == 0)).select(*docs.columns, used)
     names = docs.columns
     words = re.compile(WORD)
 
@@ -205,7 +216,7 @@ def texts(docs: DataFrame, rows: DataFrame, taken: DataFrame) -> DataFrame:
         for b in (x for whole in batches for x in slices(whole, names.index("text"), 4 << 20)):
             index, text = [], []
             for i, (t, uses) in enumerate(zip(b.column(names.index("text")).to_pylist(), b.column(len(names)).to_pylist())):
-                at = [m.span() for m in words.finditer(t or "")] if uses else []
+                at = [m.span() for m in words.finditer(t)]
                 for u in uses:
                     parts: list[list[int]] = []
                     for r in u["ranges"]:
