@@ -62,7 +62,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.fit(docs))
     count = [F.size(F.array_remove(F.col("base.kind"), i)) for i in range(len(pii.KINDS))]
     count = [(F.size("base") - c).cast("bigint").alias(f"n_{k}") for k, c in zip(pii.KINDS, count)]
-    return found.select("doc_id", *count, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

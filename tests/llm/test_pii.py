@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import odd
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -102,6 +103,51 @@ def test_nothing_to_learn_from(rows):
     assert pii.train(rows).thresholds == [float("inf")] * 4
 
 
+def hidden(i, kind):
+    """Personal data that no base rule finds."""
+    a, b, c = 10 + i % 80, 100 + i % 900, 1000 + i * 37 % 9000
+    d = f"4{i * 7919 % 10**14:014d}"
+    card = next(d + x for x in "0123456789" if luhn(d + x))
+    return {
+        "email": (f"jo{a} at mail{i % 9} dot example dot com", f"jo{a} [at] mail{i % 9} [dot] org", f"jo{a} @ mail{i % 9}.example.net"),
+        "ip": (f"10[.]{a}[.]{b % 256}[.]7", f"172 . {a} . {b % 256} . 9"),
+        "card": (f"{card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]}", f"{card[:4]} - {card[4:8]} - {card[8:12]} - {card[12:]}"),
+        "phone": (f"001 ({b}) 555-{c}", f"({b}) 555-{c}"),
+    }[kind]
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
+def test_spans_beyond_base(spark, sf):
+    """In documents of the corpus, with disguised data added to held-out ones: what share is found."""
+    import zlib
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = pii.fit(docs)
+    made = [(i, k, f"Und dann {x} war es.") for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0 for k in pii.KINDS for x in hidden(i, k)]
+    d = spark.createDataFrame([(n, k, t) for n, (_, k, t) in enumerate(made)], "doc_id bigint, kind string, text string")
+    rows = pii.find(d, model).select("kind", F.size("base").alias("b"), pii.listed(F.col("spans")).alias("s")).collect()
+    for k in pii.KINDS:
+        mine = [r for r in rows if r["kind"] == k]
+        assert np.mean([f"{k}:" in r["s"] for r in mine]) >= 0.6, (k, model.held_out)
+    # the corpus itself has none of these: little is added to it
+    found = pii.find(docs, model).agg(F.sum(F.size("base")).alias("b"), F.sum(F.size("spans")).alias("s")).first()
+    assert found["b"] <= found["s"] <= 1.1 * found["b"]
+    for k, (chosen, right, all_) in model.held_out.items():
+        assert right >= 0.95 * chosen and right <= all_, k
+
+
+def test_disguised_spans_escape_the_base_rules(spark):
+    plain = ["write to jo.e@ex-ample.co.uk or a_b@c.de now", "at 10.0.0.255 and 192.168.1.7.", "4111 1111 1111 1111 and 4111111111111111", "+1 (555) 123-4567, +49 30 1234567"]
+    d = spark.createDataFrame([(i, f"{'x' * i} {t} y") for i, t in enumerate(plain * 6)], "doc_id bigint, text string")
+    x = d.select("text", pii.base(F.col("text")).alias("b")).select("text", "b", pii.disguised(F.col("text"), F.col("b")).alias("d"))
+    rows = x.select("text", F.size("b").alias("n"), "d.spans", F.col("d.text").alias("new"), pii.base(F.col("d.text")).alias("again")).collect()
+    assert sum(r["n"] for r in rows) > 0
+    for r in rows:
+        for sp in r["spans"]:
+            assert not any(a["kind"] == sp["kind"] and a["s"] < sp["e"] and sp["s"] < a["e"] for a in r["again"]), r
+        assert len(r["spans"]) <= r["n"] and (r["n"] > 0 or r["new"] == r["text"])
+
+
 def test_selected_candidates_touch_no_base_span(spark):
     m = pii.Model([], [0.0, 0.0, 0.0, -1.0])  # every candidate of every kind
     d = spark.createDataFrame([(1, "me@x.org then bob at host dot com, (030) 123 45 678 and 10.0.0.1")], "doc_id bigint, text string")
