@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ashlar.llm import bpe, jaccard, mixing, pii, toxicity
-from ashlar.llm.common import bounded, forget, keep, read, written
+from ashlar.llm.common import bounded, forget, fresh, keep, read, written
 from ashlar.llm.queries import vocabulary
 
 _left: list[str] = []
@@ -59,8 +59,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @_tidy
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind."""
-    found = pii.find(docs, pii.fit(docs))
-    text = pii.redacted(F.coalesce(F.col("text"), F.lit("")), F.col("spans"))
+    base, spans = fresh(docs.columns, "base"), fresh(docs.columns, "spans")
+    found = pii.find(docs, pii.fit(docs), base=base, spans=spans)
+    text = pii.redacted(F.coalesce(F.col("text"), F.lit("")), F.col(spans))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 
