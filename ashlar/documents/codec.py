@@ -29,6 +29,10 @@ ALL = DEFAULT | NAMES | FORMAT | PADDING
 OUT_OF_BOUNDS, INVALID_TYPE, DUPLICATE_NAME, MISSING_NAME, ARRAY_NAME, INVALID_STRING, INVALID_INTEGER, INVALID_FLOAT, NON_UNIFORM_OBJECT, NON_UNIFORM_ARRAY, EXTRA = (1 << i for i in range(11))
 
 
+#: Containers inside each other that a document may have.
+DEEPEST = 128
+
+
 @dataclass(frozen=True)
 class Tagged:
     """A hash, attachment, id or time: kind and raw bytes (times: ticks of 100 ns, signed)."""
@@ -105,7 +109,7 @@ class Reader:
     """Reads fields and gathers errors by mode; with mode 0 the first error raises."""
 
     def __init__(self, data: bytes, mode: int = 0):
-        self.data, self.mode, self.errors = data, mode, 0
+        self.data, self.mode, self.errors, self.depth = data, mode, 0, 0
 
     def fail(self, error: int) -> None:
         self.errors |= error
@@ -184,12 +188,20 @@ class Reader:
         shared = None
         if code in (UNIFORM_OBJECT, UNIFORM_ARRAY) and at < end:
             shared, at = self.data[at], at + 1
+            if not shared & NAMED and shared & 0x3F in (NULL, FALSE, TRUE):  # fields of no bytes: any count would do
+                self.fail(OUT_OF_BOUNDS)
+        if count is not None and count > end - at:  # a field has a byte at least
+            self.fail(OUT_OF_BOUNDS)
+        self.depth += 1
+        if self.depth > DEEPEST:
+            self.fail(OUT_OF_BOUNDS)
         items: list[tuple[str | None, Any]] = []
         kinds: set[int] = set()
         while at < end if count is None else len(items) < count:
             name, v, kind, at = self.field(at, end, shared)
             items.append((name, v))
             kinds.add(kind)
+        self.depth -= 1
         if at != end:
             self.fail(OUT_OF_BOUNDS)
         if is_array:

@@ -9,6 +9,11 @@ def counts(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("accesses"))
 
 
+def counters(df: DataFrame, op: str, size: str) -> DataFrame:
+    """Number and bytes of accesses by operation."""
+    return df.groupBy(op).agg(F.count("*").alias("accesses"), F.sum(size).alias("bytes"))
+
+
 def rates(df: DataFrame, key: str, ts: str) -> DataFrame:
     """Requests a second between a key's first and last; null if those are one moment."""
     g = df.groupBy(key).agg(F.count("*").alias("n"), (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))).alias("us"))

@@ -69,9 +69,19 @@ def rolling(b: np.ndarray) -> np.ndarray:
     return h ^ older
 
 
-def cuts(payload: bytes, least: int, most: int, threshold: int) -> list[int]:
-    """Ends of the chunks: after the first byte beyond ``least`` whose window's hash is at most
-    the threshold, at ``most`` bytes otherwise, and at the end."""
+#: Tests of a window's hash, each true about as often as a random hash is at most the threshold
+#: (the mask: once in a power of two bytes).
+PREDICATES = {
+    "threshold": lambda h, threshold: h <= threshold,
+    "mask": lambda h, threshold: h & np.uint32((1 << (((1 << 32) // threshold).bit_length() - 1)) - 1) == 0,
+    "modulo": lambda h, threshold: h % np.uint32((1 << 32) // threshold) == (1 << 32) // threshold - 1,
+}
+
+
+def cuts(payload: bytes, least: int, most: int, threshold: int, predicate: str = "threshold") -> list[int]:
+    """Ends of the chunks: after the first byte beyond ``least`` whose window's hash passes the
+    test, at ``most`` bytes otherwise, and at the end."""
+    passes = PREDICATES[predicate]
     n = len(payload)
     if n <= least:
         return [n] if n else []
@@ -80,7 +90,7 @@ def cuts(payload: bytes, least: int, most: int, threshold: int) -> list[int]:
     for at in range(0, n, STRIDE):  # in strides that stay in the processor's cache
         before = min(at, WINDOW - 1)
         h = rolling(data[at - before : at + STRIDE])
-        found.append(np.flatnonzero(h[before:] <= threshold) + (at + 1))
+        found.append(np.flatnonzero(passes(h[before:], threshold)) + (at + 1))
     candidates = np.concatenate(found)
     out, start = [], 0
     while n - start > least:
@@ -94,8 +104,10 @@ def cuts(payload: bytes, least: int, most: int, threshold: int) -> list[int]:
     return out
 
 
-def content_defined(df: DataFrame, key: str, payload: str, average: int = 1024, least: int | None = None, most: int | None = None) -> DataFrame:
-    """key, ord, offset, hash, size, chunk; boundaries depend on the 48 bytes before them only."""
+def content_defined(df: DataFrame, key: str, payload: str, average: int = 1024, least: int | None = None, most: int | None = None, predicate: str = "threshold") -> DataFrame:
+    """key, ord, offset, hash, size, chunk; boundaries depend on the 48 bytes before them only.
+    predicate: which test of the window's hash ends a chunk (PREDICATES).  Null and empty
+    payloads have no chunk; repeated rows are cut each."""
     low, high, threshold = sizes(average, least, most)
     kind = dict(df.dtypes)[key]
 
@@ -104,7 +116,7 @@ def content_defined(df: DataFrame, key: str, payload: str, average: int = 1024,
             keys, ords, at, parts = [], [], [], []
             for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 start = 0
-                for i, end in enumerate(cuts(p or b"", low, high, threshold)):
+                for i, end in enumerate(cuts(p or b"", low, high, threshold, predicate)):
                     keys.append(k)
                     ords.append(i)
                     at.append(start)

@@ -14,8 +14,25 @@ def size_groups(df: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame) -> DataFrame:
-    """Files and bytes by power-of-two size bucket."""
-    return df.groupBy(next_pow2(F.col("size")).alias("bucket")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    """Files and bytes by power-of-two size bucket, largest first."""
+    return df.groupBy(next_pow2(F.col("size")).alias("bucket")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy(F.col("bucket").desc())
+
+
+def duplicate_pairs(df: DataFrame) -> DataFrame:
+    """size, canonical, duplicate: each file (path, payload) that repeats the content of one with a smaller path, the smallest."""
+    f = df.select("path", F.octet_length(data(F.col("payload"))).cast("bigint").alias("size"), addr(F.col("payload")).alias("hash"))
+    g = f.groupBy("size", "hash").agg(F.min("path").alias("canonical"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return f.join(g, ["size", "hash"]).where("path > canonical").select("size", "canonical", F.col("path").alias("duplicate"))
+
+
+def by_size(df: DataFrame) -> DataFrame:
+    """Files (path, size), smallest first, equal sizes by path: the order in which they are cut."""
+    return df.orderBy("size", "path")
+
+
+def by_path(df: DataFrame) -> DataFrame:
+    """The last size of each path (path, ord, size), in order of the paths."""
+    return df.groupBy("path").agg(F.max_by("size", "ord").alias("size")).orderBy("path")
 
 
 def duplicates(df: DataFrame, threshold: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.addr import checksum32
@@ -35,9 +37,26 @@ def replay(df: DataFrame, payload: str, checksum: str) -> DataFrame:
     return df.where(checksum32(F.col(payload)) == F.col(checksum))
 
 
-def whole_records(df: DataFrame, length: str, record: int) -> DataFrame:
-    """Adds records and torn: how many whole fixed-size records bytes hold, and what is left over."""
-    return df.withColumns({"records": F.expr(f"`{length}` div {record}"), "torn": F.col(length) % record})
+def whole_records(df: DataFrame, length: str, record: int, header: int = 0) -> DataFrame:
+    """Adds records and torn: how many whole fixed-size records bytes hold after a header, and
+    what is left over.  Cache logs have no header; what is shorter than one holds nothing."""
+    n = F.greatest(F.col(length) - header, F.lit(0))
+    return df.withColumns({"records": F.floor(n / record).cast("bigint"), "torn": n % record})
+
+
+def file_view(ops: DataFrame) -> DataFrame:
+    """op, id, client_path, server_path: a row for each file of operations (op, files, serverfiles:
+    arrays of (id, path)), server files matched by id; either path may be null."""
+    one = lambda c, name: ops.select("op", F.explode(c).alias("f")).select("op", F.col("f.id").alias("id"), F.col("f.path").alias(name))
+    a, b = one("files", "client_path"), one("serverfiles", "server_path")
+    return a.groupBy("op", "id").agg(F.min("client_path").alias("client_path")).join(b.groupBy("op", "id").agg(F.min("server_path").alias("server_path")), ["op", "id"], "full")
+
+
+def count_mismatch(ops: DataFrame) -> DataFrame:
+    """Operations (op, files, serverfiles) whose numbers of files differ; a null list has none."""
+    n = [F.coalesce(F.size(c), F.lit(0)) for c in ("files", "serverfiles")]
+    n = [F.greatest(x, F.lit(0)).cast("bigint").alias(c) for x, c in zip(n, ("client_files", "server_files"))]
+    return ops.select("op", *n).where("client_files <> server_files")
 
 
 def valid_ops(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,6 +89,18 @@ def tiered(requests: DataFrame, tiers: list[tuple[str, DataFrame]], key: list[st
     return out.select(*requests.columns, F.coalesce(*got).alias(value), F.coalesce(*name).alias("tier"))
 
 
+#: Largest value that the memory tier takes.
+ADMITTED = 16384
+
+
+def promoted(memory: DataFrame, reads: DataFrame, key: str, value: str) -> DataFrame:
+    """The memory tier (key, value) after reads (key, value) that came from lower tiers: values of
+    at most ADMITTED bytes are put in, in place of what their key had; null values are misses.
+    Reads of one key agree; of others the largest value counts."""
+    fit = reads.where(F.octet_length(value) <= ADMITTED).groupBy(key).agg(F.max(value).alias(value))
+    return memory.select(key, value).join(fit.select(key), key, "left_anti").unionByName(fit)
+
+
 def fold_rate(df: DataFrame, key: str, tick: str, count: str, alpha: float, interval: float) -> DataFrame:
     """Exponentially weighted rate after each key's ticks in order: the first tick sets it."""
     e = F.aggregate(
@@ -99,6 +130,18 @@ def route_pattern(template: str, patterns: dict[str, str]) -> str:
     return out + template[at:]
 
 
+def routed_with(uri: Column, verb: Column, routes: list[tuple[str, str, set[str]]]) -> tuple[Column, Column]:
+    """(name, captures) of the first route (name, pattern, verbs) whose pattern matches the whole
+    URI and that takes the verb; captures are the pattern's groups in order."""
+    name, captures = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    for label, pattern, verbs in reversed(routes):
+        ok = uri.rlike(f"^(?:{pattern})$") & verb.isin(*verbs)
+        groups = re.compile(pattern).groups
+        name = F.when(ok, label).otherwise(name)
+        captures = F.when(ok, F.array(*(F.regexp_extract(uri, f"^(?:{pattern})$", i + 1) for i in range(groups))).cast("array<string>")).otherwise(captures)
+    return name, captures
+
+
 def query_value(query: Column, name: str) -> Column:
     """A parameter's value: parts between ``&``, cut at the first ``=``; parts without one do
     not count; names in any case, the first wins; nothing is unescaped."""

@@ -28,6 +28,11 @@ def merkle(nodes: DataFrame, depth: int) -> DataFrame:
     return done.select("path", "hash")
 
 
+def printed(nodes: DataFrame) -> DataFrame:
+    """path, line: the name of each node (path, depth, name), two blanks a level before it."""
+    return nodes.select("path", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("name")).alias("line"))
+
+
 def like(name: Column, pattern: str) -> Column:
     """Whether a name fits a pattern with * and ?, in any case; an empty pattern fits all."""
     if not pattern:

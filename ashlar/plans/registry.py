@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, documents, logs, scalars, streams, trees
+from . import content, documents, logs, scalars, stores, streams, trees
 
-PARTS = (content, logs, trees, scalars, documents, streams)
+PARTS = (content, logs, stores, trees, scalars, documents, streams)
 
 
 def queries() -> dict:

@@ -50,7 +50,13 @@ def nice_numbers(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (hash_functions, int_math, object_ids, tick_dates, range_read, path_parts, parse_int, nice_numbers)}
 _part = "lower(lpad(to_hex({}), 8, '0'))"
 _oid = " || ".join(_part.format(c) for c in ("CAST(epoch(o_orderdate) AS BIGINT)", "o_orderkey", "o_custkey"))
+# the widest of two, one or no decimals that fits four characters before the letter; ties to even
+_unit = "CASE WHEN {n} % {u} = 0 THEN CAST({n} // {u} AS VARCHAR) WHEN {n} < 9.995 * {u} THEN printf('%.2f', round_even({n} * 100.0 / {u}, 0) / 100) WHEN {n} < 99.95 * {u} THEN printf('%.1f', round_even({n} * 10.0 / {u}, 0) / 10) ELSE printf('%.0f', round_even({n} * 1.0 / {u}, 0)) END"
+_nice = lambda n, first: f"CASE WHEN {n} < 1024 THEN CAST({n} AS VARCHAR) || '{first}' WHEN {n} < 1048576 THEN {_unit.format(n=n, u=1024)} || 'K' WHEN {n} < 1073741824 THEN {_unit.format(n=n, u=1048576)} || 'M' ELSE {_unit.format(n=n, u=1073741824)} || 'G' END"
+_span = """CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 10000 THEN printf('%.2fs', round_even(ms / 10.0, 0) / 100) WHEN ms < 60000 THEN printf('%.1fs', round_even(ms / 100.0, 0) / 10)
+ WHEN ms < 3600000 THEN (ms // 60000) || 'm' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || 's' ELSE (ms // 3600000) || 'h' || lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0') || 'm' END"""
 SQL = {
+    "nice_numbers": f"SELECT doc_id, {_nice('n', 'B')} AS bytes, {_nice('n', '')} AS number, {_span} AS span, {_nice('r', 'B')} || '/s' AS rate FROM (SELECT doc_id, n, n * 50 AS ms, CAST(trunc(n * 1000 / nullif(n_chars, 0)) AS BIGINT) AS r FROM (SELECT doc_id, n_chars, octet_length(encode(text)) AS n FROM documents))",
     "hash_functions": "SELECT doc_id, h[1:40] AS addr, sha1(text) AS sha1, md5(text) AS md5, h[1:24] AS key_id, h[1:8] AS checksum, lower(hex(encode(text)[1:8])) AS head, h[1:3] || '/' || h[4:5] || '/' || h[6:40] AS shard FROM (SELECT doc_id, text, sha256(text) AS h FROM documents)",
     "int_math": "SELECT l_orderkey, l_linenumber, (k & (k - 1)) = 0 AS is_pow2, CASE WHEN k >= 1 THEN CAST(length(bin(k)) - 1 AS INTEGER) END AS floor_log2, CASE WHEN k = 1 THEN 0 WHEN k > 1 THEN CAST(length(bin(k - 1)) AS INTEGER) END AS ceil_log2, CASE WHEN k <= 1 THEN 1 ELSE CAST(pow(2, length(bin(k - 1))) AS BIGINT) END AS next_pow2, CASE WHEN k = 0 THEN 64 ELSE CAST(64 - length(bin(k)) AS INTEGER) END AS leading, CASE WHEN k = 0 THEN 64 ELSE CAST(length(bin(k)) - length(rtrim(bin(k), '0')) AS INTEGER) END AS trailing, (k + 15) // 16 * 16 AS round_up, CASE WHEN k = 0 THEN 1 ELSE CAST(least((length(bin(k)) - 1) // 7 + 1, 9) AS INTEGER) END AS varuint FROM (SELECT *, l_partkey AS k FROM lineitem)",
     "object_ids": f"SELECT o_orderkey, {_oid} AS oid, CAST(epoch(o_orderdate) AS BIGINT) AS seconds FROM orders",

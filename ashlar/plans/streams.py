@@ -25,7 +25,7 @@ def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_liveness(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).select("user_id", "ts", "event_id", F.col("event_type").isin("signup", "error").alias("bye"))
-    return stateful.finished(stateful.liveness(e, "user_id"), "update", final=True)
+    return stateful.finished(stateful.liveness(e, "user_id"), "update", key="user_id")
 
 
 def stream_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 _own: list[str] = []
 
@@ -23,22 +24,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
-def finished(stream: DataFrame, mode: str, final: bool = False) -> DataFrame:
-    """Run a stream over what its source has now and read what it wrote.  ``final`` keeps the
-    last batch only, for results that each batch states anew."""
+def finished(stream: DataFrame, mode: str, final: bool = False, key: str | None = None) -> DataFrame:
+    """Run a stream over what its source has now and read what it wrote: all rows, with
+    ``final`` the last batch's (for results that each batch states anew), with ``key`` each
+    key's from the last batch that has it (for updates).  Every batch has its own part, so one
+    that is tried again replaces itself."""
     spark = stream.sparkSession
     folder = shared_folder(spark)
     out = f"{folder}/out"
 
     def write(batch: DataFrame, n: int) -> None:
-        if final:
-            batch.write.mode("overwrite").parquet(out)
-        else:
-            batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out) if final else spark.read.parquet(out).drop("batch")
+    got = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    if final:
+        last = got.agg(F.max("batch")).first()[0]
+        got = got.where(F.col("batch") == F.lit(last))
+    elif key:
+        got = got.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("v")).select("v.*")
+    return got.select(*stream.columns)
 
 
 def first_of_key(stream: DataFrame, key: str, ts: str | None = None, delay: str = "1 hour") -> DataFrame:
