@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..documents import frames
+from ..functions import crc
 from ..functions.addr import addr
 from ..operators import access, cas, chunking, dedup, logs, manifest
 from .tables import table
@@ -130,7 +132,33 @@ def cdc_invariants(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (cas_batch_ordered, chunk_store_stats, duplicate_pairs, files_by_size, files_by_path, oplog_files, oplog_count_mismatch, oplog_attachments, oplog_open, need_paths, route_captures, cache_admission, cache_log_records, cache_put_offsets, upstream_put, store_counters, write_cursors, manifest_print, cdc_invariants)}
+def file_cache_trailer(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written with a trailer and read back; one in seven is damaged and gives null."""
+    file = crc.with_trailer(F.coalesce("html", F.lit("")))
+    damaged = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit(b"x"), file)).otherwise(file)
+    back = crc.without_trailer(damaged)
+    return table(spark, sf, "pages").select("page_id", F.octet_length(back).cast("bigint").alias("size"), F.sha1(back).alias("sha1"))
+
+
+def package_operations(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as packages with suppliers as attachments: one is looked up, some go, some come."""
+    one = lambda c: F.struct(addr(c.cast("string")).alias("hash"), F.when(c % 2 == 0, "object_attachment").otherwise("binary_attachment").alias("kind"))
+    p = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(one(F.col("l_suppkey")))).alias("a"))  # the lines of one order
+    left, gone = frames.without_attachments(F.col("a"), F.array(*(addr(F.lit(str(i))) for i in range(0, 20))))
+    more = frames.with_attachments(F.col("left"), F.array(one(F.lit(3)), one(F.lit(30))))
+    p = p.select("l_orderkey", "a", left.alias("left"), gone.alias("gone")).withColumn("more", more)
+    return p.select("l_orderkey", frames.find_attachment(F.col("a"), addr(F.lit("7")))["kind"].alias("seven"), "gone", F.size("more").alias("after"), frames.same_package(F.lit("x"), F.col("a"), F.lit("x"), F.col("more")).alias("same"))
+
+
+def typed_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed accessors with defaults and errors over orders as documents."""
+    d = table(spark, sf, "orders").select("o_orderkey", F.parse_json(F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), (F.col("o_orderkey") - 1000).alias("n"), (F.col("o_custkey") == 1).alias("b"), F.struct(addr(F.col("o_orderstatus")).alias("$hash")).alias("h")))).alias("v"))
+    out = {"k8": ("k", "int8", 7), "n16": ("n", "uint16", 7), "k64": ("k", "int64", 7), "s": ("s", "string", "none"), "sn": ("s", "int32", -1), "b": ("b", "bool", False), "x": ("x", "double", 0.5), "kf": ("k", "double", 0.0), "h": ("h", "hash", "")}
+    got = {c: frames.typed(F.col("v"), *how) for c, how in out.items()}
+    return d.select("o_orderkey", *(v.alias(c) for c, (v, _) in got.items()), *(e.alias(f"{c}_error") for c, (_, e) in got.items()))
+
+
+QUERIES = {f.__name__: f for f in (cas_batch_ordered, chunk_store_stats, duplicate_pairs, files_by_size, files_by_path, oplog_files, oplog_count_mismatch, oplog_attachments, oplog_open, need_paths, route_captures, cache_admission, cache_log_records, cache_put_offsets, upstream_put, store_counters, write_cursors, manifest_print, cdc_invariants, file_cache_trailer, package_operations, typed_fields)}
 _h = "substr(sha256(CAST({} AS VARCHAR)), 1, 40)"
 _stored_sql = f"SELECT {_h.format('p_partkey')} AS hash, octet_length(encode(p_name)) AS size FROM part WHERE p_size <= 25"
 _bytes = "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents"
@@ -163,4 +191,11 @@ SQL = {
     "write_cursors": f"SELECT align, CAST((e + align - 1) // align * align AS BIGINT) AS next_offset FROM (SELECT max(doc_id * 4096 + n) AS e FROM ({_bytes})), (VALUES (16), (4096)) a(align)",
     "manifest_print": "SELECT 'root' AS path, 'root' AS line UNION ALL SELECT 'root/' || r_name, '  ' || r_name FROM region UNION ALL SELECT 'root/' || r_name || '/' || n_name, '    ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'root/' || r_name || '/' || n_name || '/' || s_name, '      ' || s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "cdc_invariants": f"SELECT predicate, CAST(sum(n) AS BIGINT) AS total_bytes, true AS numbered, CAST(0 AS BIGINT) AS out_of_limits FROM ({_bytes}), (VALUES ('threshold'), ('mask'), ('modulo')) p(predicate) GROUP BY 1",
+    "file_cache_trailer": "SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN octet_length(encode(coalesce(html, ''))) END AS size, CASE WHEN page_id % 7 <> 0 THEN sha1(coalesce(html, '')) END AS sha1 FROM pages",
+    "package_operations": """SELECT l_orderkey, max(CASE WHEN l_suppkey = 7 THEN 'binary_attachment' END) AS seven, CAST(count(DISTINCT l_suppkey) FILTER (l_suppkey < 20) AS INTEGER) AS gone,
+ CAST(count(DISTINCT l_suppkey) FILTER (l_suppkey >= 20) + 1 + CASE WHEN bool_or(l_suppkey = 30) THEN 0 ELSE 1 END AS INTEGER) AS after,
+ count(DISTINCT l_suppkey) FILTER (l_suppkey < 20 AND l_suppkey <> 3) = 0 AND bool_or(l_suppkey = 3) AND bool_or(l_suppkey = 30) AS same FROM lineitem GROUP BY 1""",
+    "typed_fields": f"""SELECT o_orderkey, CAST(CASE WHEN o_orderkey <= 127 THEN o_orderkey ELSE 7 END AS TINYINT) AS k8, CAST(CASE WHEN n BETWEEN 0 AND 65535 THEN n ELSE 7 END AS INTEGER) AS n16, CAST(o_orderkey AS BIGINT) AS k64, o_orderstatus AS s, -1 AS sn, o_custkey = 1 AS b, CAST(0.5 AS DOUBLE) AS x, CAST(o_orderkey AS DOUBLE) AS kf, {_h.format('o_orderstatus')} AS h,
+ CASE WHEN o_orderkey > 127 THEN 'range' END AS k8_error, CASE WHEN n NOT BETWEEN 0 AND 65535 THEN 'range' END AS n16_error, CAST(NULL AS VARCHAR) AS k64_error, CAST(NULL AS VARCHAR) AS s_error, 'type' AS sn_error, CAST(NULL AS VARCHAR) AS b_error, 'missing' AS x_error, CAST(NULL AS VARCHAR) AS kf_error, CAST(NULL AS VARCHAR) AS h_error
+ FROM (SELECT *, o_orderkey - 1000 AS n FROM orders)""",
 }

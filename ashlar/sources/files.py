@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -61,3 +61,17 @@ def read_log(spark: SparkSession, path: str, record: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.int64()), pa.array([body[HEADER + i * record : HEADER + (i + 1) * record] for i in part], pa.binary())], ["path", "seq", "record"])
 
     return files.mapInArrow(run, "path string, seq bigint, record binary")
+
+
+def scan_blocks(spark: SparkSession, path: str, block: int, step: Callable[[bytes], int]) -> DataFrame:
+    """path, ord, result: step() over the blocks of files in order, the last one short; an empty file has none."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, body in zip(b.column(0).to_pylist(), b.column(1)):
+                view = memoryview(body.as_buffer())
+                got = [step(bytes(view[at : at + block])) for at in range(0, len(view), block)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(got), pa.string()), pa.array(range(len(got)), pa.int64()), pa.array(got, pa.int64())], ["path", "ord", "result"])
+
+    return files.mapInArrow(run, "path string, ord bigint, result bigint")

@@ -1,3 +1,5 @@
+import pytest
+
 from hypothesis import given, settings, strategies as st
 
 from ashlar.documents import codec
@@ -72,3 +74,15 @@ def test_packages(spark):
     row = frames.packages(o, a).first()
     assert [x["kind"] for x in sorted(row["attachments"], key=lambda x: x["payload"])] == ["object_attachment", "binary_attachment"]
     assert row["object_hash"] == o.select(addr(F.col("object"))).first()[0]
+
+
+def test_counts_and_depth_are_bounded():
+    for code in (codec.NULL, codec.TRUE, codec.FALSE):
+        body = bytes([0x8F, 0x42, 0x40, code])  # far more fields than bytes
+        assert codec.validate(bytes([codec.UNIFORM_ARRAY, len(body)]) + body) & codec.OUT_OF_BOUNDS
+    deep = codec.encode(1)
+    for _ in range(300):
+        deep = bytes([codec.ARRAY]) + codec.encode_varuint(len(deep) + 1) + b"\1" + deep
+    assert codec.validate(deep) & codec.OUT_OF_BOUNDS and codec.measure(deep) is None
+    with pytest.raises(ValueError):
+        codec.decode(deep)

@@ -31,3 +31,11 @@ def test_mangled_header_fails(spark, tmp_path):
     (tmp_path / "b.log").write_bytes(b"x" + files.log_header(8)[1:] + bytes(16))
     with pytest.raises(Exception, match="not a log"):
         files.read_log(spark, str(tmp_path / "b.log"), 8).count()
+
+
+def test_blocks_of_a_file_in_order(spark, tmp_path):
+    from ashlar.sources.files import scan_blocks
+
+    (tmp_path / "f.bin").write_bytes(bytes(range(10)))
+    rows = scan_blocks(spark, str(tmp_path / "f.bin"), 4, sum).orderBy("ord").collect()
+    assert [(r["ord"], r["result"]) for r in rows] == [(0, 6), (1, 22), (2, 17)]

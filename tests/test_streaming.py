@@ -39,3 +39,11 @@ def test_liveness_over_batches(spark, tmp_path):
         if r["s"] not in last or r["messages"] > last[r["s"]]["messages"]:
             last[r["s"]] = r
     assert {s: r["alive"] for s, r in last.items()} == {0: True, 1: True, 2: True, 3: False, 4: False}
+
+
+def test_updates_keep_each_keys_last_batch(spark, tmp_path):
+    for n in (1, 2):
+        spark.createDataFrame([(n, 10 * n, n, False)], "s bigint, t bigint, event_id bigint, bye boolean").selectExpr("s", "timestamp_seconds(t) AS ts", "event_id", "bye").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    e = spark.readStream.schema("s bigint, ts timestamp, event_id bigint, bye boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = stateful.finished(stateful.liveness(e, "s"), "update", key="s").collect()
+    assert sorted((r["s"], r["messages"], r["alive"]) for r in got) == [(1, 1, True), (2, 1, True)]
