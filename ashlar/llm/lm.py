@@ -27,6 +27,8 @@ from .shingles import _byte, _power, mix
 
 #: Context bytes; bytes of text a worker takes at once; strings it holds before it passes them on.
 DEPTH, TEXT, HELD = 5, 2 << 20, 2 << 20
+#: Characters of text whose strings one task adds up.
+PART = 16 << 20
 #: Entries of a shard that a scoring worker holds.
 SHARD = 8 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -352,7 +354,8 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     spark = reachable(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), folds).alias("held"))
-    parts = max(32, 2 * spark.sparkContext.defaultParallelism, d.count() // 20_000)
+    size = d.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(32, 2 * spark.sparkContext.defaultParallelism, size // PART)
     counts = d.select("text", (~F.col("held")).alias("train")).mapInArrow(turn(gather(parts)), BLOB)
     counts = keep(counts.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(turn(add_up), BLOB), "counts")
     found = counts.where("kind = 0").mapInArrow(turn(heads), "id bigint, n0 bigint, n1 bigint, pw double").groupBy("id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("pw"))
@@ -365,6 +368,8 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     total = counts.where("kind = 1").mapInArrow(turn(_sums), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rest = float(total + 0.1 * (size.get(1, 0) + 1))
     texts = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if shards > 1:  # all passes must number the rows alike
+        texts = keep(texts, "texts")
     out = None
     for s in range(shards):  # each pass holds one shard; sums over shards make the score
         one = texts.mapInArrow(turn(scorer(f"{path}/shard={s}")), SCORED.format(id=kind))

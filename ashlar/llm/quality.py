@@ -1,13 +1,17 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Every line is good or bad.  Its potential comes from features of the line and of both
-neighbours, and neighbouring labels attract or repel each other.  Forward-backward gives
-each line's probability of being bad; their mean, weighted by length, is calibrated to the
-probability that a document is good.
+neighbours, and neighbouring labels attract or repel each other.  Only documents are
+labelled: lines start with their document's label, and half-way through training a bad
+document's lines that the field takes for good become good, its worst line never.
+Forward-backward gives each line's probability of being bad; their mean, weighted by length,
+is calibrated, on documents that the field has not seen, to the probability that a document
+is good.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -168,19 +172,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -30, 30)))
 
 
-def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = None) -> Model:
-    """A field from (text, label) rows, label 1 for good; lines inherit the label.  Without
-    both labels every score is the same.  A row of a label stands for so many learning rows."""
+def inner(first: np.ndarray) -> np.ndarray:
+    """Which lines have one after them in their text."""
+    out = np.ones(first[-1], bool)
+    out[first[1:] - 1] = False
+    return out
+
+
+def field(sample: list[tuple[str, int]]) -> Model:
+    """The field from (text, label) rows of both labels, not calibrated."""
     y = np.array([b for _, b in sample], float)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0), np.zeros((2, 2)), 0.0, -6.0 if len(y) and y.max() == 0 else 6.0)
     # the labels weigh the same in training; calibration brings the true shares back
     parts = []
     for label in (0, 1):
         weight = 0.5 * len(y) / (y == label).sum()
         for texts in in_parts([t for t, b in sample if b == label]):
             x = lines(texts)
-            parts.append((beside(x.features, x.first).astype(np.float32), 1.0 - label, x.first, weight))
+            parts.append((beside(x.features, x.first).astype(np.float32), np.full(x.first[-1], 1.0 - label), x.first, weight))
     width = parts[0][0].shape[1]
     w, trans = np.zeros(width), np.zeros((2, 2))
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))
@@ -188,27 +196,52 @@ def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = N
         gw, gt = 1e-3 * len(y) * w, 1e-2 * len(y) * trans
         for ff, b, first, weight in parts:
             p, joint, _ = marginals(ff @ w, trans, first)
-            seen = np.zeros((2, 2))
-            seen[int(b), int(b)] = len(p) - (len(first) - 1)
+            if step == ROUNDS // 2 and b.any():
+                worst = np.maximum.reduceat(p, first[:-1])
+                b[:] = (p >= 0.5) | (p >= np.repeat(worst, np.diff(first)))
+            at = np.flatnonzero(inner(first))
+            seen = np.bincount((2 * b[at] + b[at + 1]).astype(int), minlength=4).reshape(2, 2)
             gw = gw + weight * (ff.T @ (p - b))
             gt = gt + weight * (joint - seen)
         for g, m, v, par in ((gw, mw, vw, w), (gt, mt, vt, trans)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             par -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    model = Model(w, trans, 1.0, 0.0)
-    odds = np.concatenate([model.badness(part) for part in in_parts([t for t, _ in sample])])
+    return Model(w, trans, 1.0, 0.0)
+
+
+def train(sample: list[tuple[str, int]], stands_for: dict[int, float] | None = None) -> Model:
+    """A calibrated field from (text, label) rows, label 1 for good.  Without both labels every
+    score is the same.  A row of a label stands for so many learning rows.  Each half of the
+    rows is judged by a field of the other half, if that has both labels, to calibrate."""
+    y = np.array([b for _, b in sample], float)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(0), np.zeros((2, 2)), 0.0, -6.0 if len(y) and y.max() == 0 else 6.0)
+    whole = field(sample)
+    # equal texts go to the same half
+    half = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1 for t, _ in sample])
+    odds = np.zeros(len(y))
+    for h in (0, 1):
+        mine, others = np.flatnonzero(half == h), [sample[i] for i in np.flatnonzero(half != h)]
+        if len(mine):
+            other = field(others) if len({b for _, b in others}) == 2 else whole
+            odds[mine] = np.concatenate([other.badness(part) for part in in_parts([sample[i][0] for i in mine])])
     slope, shift = logistic(odds[:, None], y, ridge=1.0, weight=shares(y, stands_for))
-    return Model(w, trans, float(slope), float(shift))
+    return Model(whole.weights, whole.trans, float(slope), float(shift))
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
-    """Learn from at most ``each`` labelled documents of either kind outside the held-out fold."""
+    """Learn from at most ``each`` labelled documents of either kind outside the held-out fold.
+
+    An id with both labels is good; ids without a label, null ids and labels other than 0 and 1
+    teach nothing; repeated rows count once; null texts are empty.  Without rows of both labels
+    the model gives every text the same score."""
     return train(*labelled_sample(docs, labels, "quality", each, parts="\n"))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ``score`` (0 to 1, the probability of good) of every row's whole text; null: empty."""
+    """key, ``score`` (0 to 1, the probability of good) of every row's whole text; null: empty.
+    Rows map one to one: repeated rows stay, extra columns go, an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -34,7 +34,13 @@ def test_run_agrees_with_itself(spark, sf):
 
 
 def test_odd_rows(spark, sf):
-    for docs in (odd.docs(spark), odd.none(spark)):
-        for name, stage in p.STAGES:
+    start = odd.docs(spark)
+    extra = [c for c in start.columns if c not in ("text", "n_chars")]
+    have = {tuple(r) for r in start.select(*extra).collect()}
+    for docs, some in ((start, True), (odd.none(spark), False)):
+        for name, stage in p.STAGES[:-1]:
             docs = keep(stage(spark, docs, sf), f"test-{name}")
-        assert docs.count() >= 0
+            assert docs.dtypes == start.dtypes, name
+            assert {tuple(r) for r in docs.select(*extra).collect()} <= have, name
+        ids = p.STAGES[-1][1](spark, docs, sf)
+        assert ids.count() == docs.count() and (docs.count() > 0) == some
