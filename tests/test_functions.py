@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
@@ -43,6 +44,21 @@ def test_blake3_of_many_chunks_differs_by_every_byte():
     assert len(seen) == 12
 
 
+#: Published digests of 0, 1, ... 250, 0, 1, ... by length.
+BLAKE3 = {1: "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213", 1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7", 1025: "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444", 2049: "5f4d72f40d7a5f82b15ca2b2e44b1de3c2ef86c426c95c1af0b6879522563030", 3072: "b98cb0ff3623be03326b373de6b9095218513e64f1ee2edd2525c7ad1e5cffd2", 7168: "61da957ec2499a95d6b8023e2b0e604ec7f6b50e80a9678b89d2628e99ada77a", 102400: "bc3e3d41a1146b069abffad3c0d44860cf664390afce4d9661f7902e7943e085"}
+
+
+def test_blake3_of_many_payloads_side_by_side(monkeypatch):
+    pattern = bytes(i % 251 for i in range(102400))
+    calls, compress = [], crc._compress
+    monkeypatch.setattr(crc, "_compress", lambda *a: calls.append(1) or compress(*a))
+    sizes = [*BLAKE3] * 3 + [3000] * 300
+    got = crc.blake3_hex.func(pd.Series([None, *(pattern[:n] for n in sizes), b"", None]))
+    assert got[0] is None and got.iloc[-1] is None and got.iloc[-2].startswith("af1349b9f5f9a1a6")
+    assert list(got[1:22]) == list(BLAKE3.values()) * 3 and len(set(got[22:322])) == 1
+    assert len(calls) < 100  # of small payloads as well, not so many for each
+
+
 @given(st.integers(0, 2**64 - 1))
 def test_varuint_round_trip(n):
     b = numbers.encode_varuint(n)
