@@ -14,6 +14,8 @@ from ..functions.addr import addr, data
 WINDOW = 48
 #: Bytes hashed at once.
 STRIDE = 1 << 15
+#: Bytes of chunks handed on at once.
+PIECE = 1 << 20
 #: The hash of each byte value: the first four bytes of SHA-256 of that byte.
 TABLE = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:4], "big") for i in range(256)], np.uint32)
 
@@ -104,6 +106,28 @@ def cuts(payload: bytes, least: int, most: int, threshold: int, predicate: str =
     return out
 
 
+def _runs(ends: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Chunks of one payload in runs of about PIECE bytes at most: the first one's number, and where the run starts and each chunk ends."""
+    edges = np.array([0, *ends])
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + PIECE, "right")) - 1)
+        yield i, edges[i : j + 1]
+        i = j
+
+
+def _chunks(keys: pa.Array, runs: list[tuple[int, int, np.ndarray, pa.Buffer]], key: str) -> pa.RecordBatch:
+    """key, ord, offset, chunk of runs of chunks: their bytes stay one buffer, no chunk becomes an object of its own."""
+    n = [len(ends) - 1 for _, _, ends, _ in runs]
+    rows = np.repeat([row for row, *_ in runs], n)
+    ords = np.concatenate([np.arange(first, first + k) for (_, first, _, _), k in zip(runs, n)])
+    at = np.concatenate([ends[:-1] for _, _, ends, _ in runs])
+    edges = np.cumsum(np.concatenate([[0], *(np.diff(ends) for _, _, ends, _ in runs)]))
+    whole = pa.py_buffer(b"".join(p for *_, p in runs))
+    parts = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges.astype(np.int32)), whole])
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(ords, pa.int32()), pa.array(at, pa.int32()), parts], [key, "ord", "offset", "chunk"])
+
+
 def content_defined(df: DataFrame, key: str, payload: str, average: int = 1024, least: int | None = None, most: int | None = None, predicate: str = "threshold") -> DataFrame:
     """key, ord, offset, hash, size, chunk; boundaries depend on the 48 bytes before them only.
     predicate: which test of the window's hash ends a chunk (PREDICATES).  Null and empty
@@ -113,16 +137,19 @@ def content_defined(df: DataFrame, key: str, payload: str, average: int = 1024,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ords, at, parts = [], [], [], []
-            for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                start = 0
-                for i, end in enumerate(cuts(p or b"", low, high, threshold, predicate)):
-                    keys.append(k)
-                    ords.append(i)
-                    at.append(start)
-                    parts.append(p[start:end])
-                    start = end
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(ords, pa.int32()), pa.array(at, pa.int32()), pa.array(parts, pa.binary())], [key, "ord", "offset", "chunk"])
+            runs, held = [], 0
+            for row, p in enumerate(b.column(1)):
+                p = p.as_buffer()
+                if not p:
+                    continue
+                for first, ends in _runs(cuts(p, low, high, threshold, predicate)):
+                    runs.append((row, first, ends, p[int(ends[0]) : int(ends[-1])]))
+                    held += len(runs[-1][3])
+                    if held >= PIECE:
+                        yield _chunks(b.column(0), runs, key)
+                        runs, held = [], 0
+            if runs:
+                yield _chunks(b.column(0), runs, key)
 
     d = df.select(F.col(key), data(F.col(payload)).alias("p")).mapInArrow(run, f"`{key}` {kind}, ord int, `offset` int, chunk binary")
     return d.select(key, "ord", "offset", addr(F.col("chunk")).alias("hash"), F.octet_length("chunk").cast("bigint").alias("size"), "chunk")

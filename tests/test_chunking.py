@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ashlar.operators import chunking as c
@@ -60,3 +61,23 @@ def test_content_defined_chunks_come_together_again(spark):
     got = {r["k"]: r["total_bytes"] for r in c.reassembled(c.content_defined(d, "k", "p", 256), "k").collect()}
     assert got == {i: i * 700 for i in range(1, 6)}
     assert d.where(F.length("p") == 0).count() == 1
+
+
+def test_chunks_of_a_batch_are_handed_on_in_pieces(spark, monkeypatch):
+    d = spark.createDataFrame([("x", b"x")], "k string, p binary")
+    taken, through = [], type(d).mapInArrow
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, run, *a: taken.append(run) or through(self, run, *a))
+    c.content_defined(d, "k", "p", 256)
+    r = random.Random(4)
+    payloads = [None, r.randbytes(5 << 20), b"", *(r.randbytes(3000) for _ in range(2000)), b"abc", None]
+    keys = [str(i) for i in range(len(payloads))]
+    pieces = list(taken[0](iter([pa.record_batch([pa.array(keys), pa.array(payloads, pa.binary())], ["k", "p"])])))
+    assert max(x.nbytes for x in pieces) < 4 << 20  # of 11 MB, five of them of one payload
+    together, rows = {}, [x for piece in pieces for x in piece.to_pylist()]
+    for x in rows:
+        before = together.setdefault(x["k"], bytearray())
+        assert len(before) == x["offset"]
+        before += x["chunk"]
+    assert together == {k: p for k, p in zip(keys, payloads) if p}
+    low, high, threshold = c.sizes(256)
+    assert [x["ord"] for x in rows if x["k"] == "1"] == list(range(len(c.cuts(payloads[1], low, high, threshold))))
