@@ -88,6 +88,8 @@ def quotas(s: DataFrame, block: int) -> DataFrame:
 
 #: Sources that one draw chooses among; draws of more go by groups of so many first.
 GROUP = 1024
+#: Groups whose lists of sources are broadcast to the draws (16 KB each); more are joined by group.
+LISTS = 64
 
 
 def drawn(s: DataFrame, shard: int, seed: int) -> DataFrame:
@@ -128,7 +130,9 @@ def drawn(s: DataFrame, shard: int, seed: int) -> DataFrame:
                 n.append(got[use])
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.concatenate(of).astype(np.int64)), pa.array(np.concatenate(n).astype(np.int64))], ["shard", "sid", "n"])
 
-    d = rows.mapInArrow(turn(by_group), "shard bigint, g bigint, n bigint").join(groups.select("g", "s"), "g").select("shard", "g", "n", "s")
+    lists = groups.select("g", "s")
+    lists = F.broadcast(lists) if len(every) <= LISTS else lists.hint("merge")  # never the draws, whose size Spark does not see
+    d = rows.mapInArrow(turn(by_group), "shard bigint, g bigint, n bigint").join(lists, "g").select("shard", "g", "n", "s")
     d = d.mapInArrow(turn(by_source), "shard bigint, sid bigint, n bigint")
     d = before(d, [F.col("shard").asc()], {"first": "n"}, by="sid").join(s.select(F.col("sid").alias("s_"), "slots"), F.col("sid") == F.col("s_"))
     end = F.when(F.col("shard") == shards - 1, F.col("slots")).otherwise(F.least("slots", F.col("first") + F.col("n")))
@@ -187,7 +191,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     span = rows.where("size > 0").join(where, F.col("source").eqNullSafe(F.col("s_"))).withColumn("end", F.col("start") + F.col("size"))
     span = span.select("row", "sid", "start", "end", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(end - 1) div {block}"))).alias("block"))
     used = uses(s, shard, seed)
-    taken = span.join(used, ["sid", "block"]).select("row", "epoch", F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).alias("lo"), (F.least((F.col("block") + 1) * block, F.col("end")) - F.col("start")).alias("hi"))
+    # Spark takes what Python or explode makes for as large as what it is made of, and would
+    # broadcast a row for each slot, through the driver: both sides are sorted and merged
+    taken = span.join(used.hint("merge"), ["sid", "block"]).select("row", "epoch", F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).alias("lo"), (F.least((F.col("block") + 1) * block, F.col("end")) - F.col("start")).alias("hi"))
     return rows, taken
 
 

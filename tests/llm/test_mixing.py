@@ -90,3 +90,29 @@ def test_text_of_a_mix_is_cut_from_the_documents(spark):
         w = words(r["text"])
         assert all(x.startswith(f"d{r['doc_id']}w") for x in w) and len(set(w)) == len(w) and r["n_chars"] == len(r["text"])
     assert sum(len(words(r["text"])) for r in texts) == taken.agg(F.sum(F.col("hi") - F.col("lo"))).first()[0]
+
+
+def broadcast(df):
+    """What a DataFrame that has run sent to all tasks: the part of its last plan below each broadcast."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    for i, line in enumerate(plan):
+        if (at := line.find("BroadcastExchange")) >= 0:
+            below = next((j for j in range(i + 1, len(plan)) if len(plan[j]) - len(plan[j].lstrip(" :+-*()0123456789")) <= at), len(plan))
+            yield "\n".join(plan[i:below])
+
+
+def test_slots_are_not_broadcast(spark):
+    """One shard of thousands of slots: Spark takes them for as few as the draws they are made of."""
+    d = spark.createDataFrame([(i, "w " * 400, f"s{i % 2}") for i in range(40)], "doc_id bigint, text string, source string")
+    _, taken = mixing.mix(d, block=8)
+    assert len(taken.collect()) > 1000
+    assert not [x for x in broadcast(taken) if "MapInArrow" in x or "Generate" in x]
+
+
+def test_groups_of_sources_joined_or_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 2)
+    s = spark.createDataFrame([(i, 10 + i, 20 + i) for i in range(7)], "sid bigint, blocks bigint, slots bigint")
+    few = sorted(map(tuple, mixing.drawn(s, 8, 1).collect()))
+    monkeypatch.setattr(mixing, "LISTS", 1)
+    assert sorted(map(tuple, mixing.drawn(s, 8, 1).collect())) == few
+    assert {i: sum(r[3] for r in few if r[0] == i) for i in range(7)} == {i: 20 + i for i in range(7)}
