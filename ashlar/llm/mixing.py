@@ -209,12 +209,13 @@ def texts(docs: DataFrame, rows: DataFrame, taken: DataFrame) -> DataFrame:
     key, copy, used, other = (fresh(docs.columns, c) for c in ("_key", "_copy", "_uses", "_other"))
     spans = taken.groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))  # within one document
     per = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("epoch", "ranges"))).alias(used))  # three times its size at most
-    per = per.join(rows.select("row", "doc_id", "tie", F.col("copy").alias(other)), "row").select(F.xxhash64("doc_id", "tie").alias("k"), other, used)
+    per = per.join(rows.select("row", "doc_id", "tie", F.col("copy").alias(other)).hint("merge"), "row").select(F.xxhash64("doc_id", "tie").alias("k"), other, used)
     mark = F.xxhash64("doc_id", F.xxhash64("text"))
     d = docs.withColumn(key, mark)
     d = d.withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy("source")))
-    # by document: the text is shuffled once, and copies of a row find theirs in one place
-    d = d.join(per, (F.col(key) == F.col("k")) & (F.col(copy) - F.col(other) == 0)).select(*docs.columns, used)
+    # by document: the text is shuffled once, and copies of a row find theirs in one place; a
+    # table's files say too little of its size to broadcast texts or rows by, so both are merged
+    d = d.join(per.hint("merge"), (F.col(key) == F.col("k")) & (F.col(copy) - F.col(other) == 0)).select(*docs.columns, used)
     names = docs.columns
     words = re.compile(WORD)
 

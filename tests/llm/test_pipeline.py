@@ -1,6 +1,7 @@
 import corpus_pipeline as p
 import odd
 from pyspark.sql import functions as F
+from test_mixing import broadcast
 
 from ashlar.llm import jaccard, mixing, pii
 from ashlar.llm.common import keep, read
@@ -44,3 +45,11 @@ def test_odd_rows(spark, sf):
             assert {tuple(r) for r in docs.select(*extra).collect()} <= have, name
         ids = p.STAGES[-1][1](spark, docs, sf)
         assert ids.count() == docs.count() and (docs.count() > 0) == some
+
+
+def test_mixing_broadcasts_neither_texts_nor_slots(spark, sf):
+    """Texts of a few KB as Parquet are many MB in a broadcast."""
+    d = spark.createDataFrame([(i, f"w{i} " * 4000, f"s{i % 2}", 0) for i in range(40)], "doc_id bigint, text string, source string, n_chars bigint")
+    mixed = p.mix_sources(spark, keep(d, "test-repeats"), sf)
+    assert mixed.collect()
+    assert not [x for x in broadcast(mixed) if "text#" in x or "MapInArrow" in x or "Generate" in x or "collect_list" in x]
